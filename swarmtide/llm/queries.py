@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swarmtide.llm import bpe, toxicity
+from swarmtide.llm import bpe, simhash, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -20,6 +20,10 @@ def _crc(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, RANKS, PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -35,6 +39,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_toxicity": op10_toxicity,
 }
