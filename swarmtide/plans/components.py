@@ -1,10 +1,10 @@
 """Connected components of a link table, without collecting links anywhere.
 
-Alternates two contractions until nothing changes. Each node hangs its larger
-neighbours on its smallest neighbour, then hangs its smaller neighbours there as well;
-both keep components as they are and halve distances, so some tens of rounds do for any
-graph. Minima are pre-aggregated before each shuffle; the join that follows has
-two plain exchanges below it, so adaptive execution may split a node with very many links.
+Two contractions alternate until nothing changes: each node hangs its larger neighbours on its
+smallest neighbour, then hangs its smaller neighbours there too. Both keep components as they are
+and halve distances, so some tens of rounds do for any graph. Minima are pre-aggregated before each shuffle and
+written, so that the join with them stands on two plain exchanges and adaptive execution may split
+a node that has very many links.
 """
 
 from __future__ import annotations
@@ -15,18 +15,20 @@ from pyspark.sql import functions as F
 from swarmtide.plans.workspace import Workspace
 
 
-def _hang(work: Workspace, links: DataFrame, upward: bool) -> DataFrame:
-    """Links (a > b). Upward: larger neighbours go to the minimum of a node; else smaller ones do."""
-    both = links.union(links.select("b", "a")).toDF("a", "b") if upward else links
-    least = work.keep(both.groupBy("a").agg(F.min("b").alias("m")))
-    near = both.join(least, "a")
-    if upward:
-        # a node without a smaller neighbour keeps its larger neighbours itself
-        new = near.select("b", F.least("a", "m").alias("m")).where("b > a or b > m").where("b > m")
-        new = near.where("b > a").select("b", F.least("a", "m").alias("m"))
-    else:
-        new = near.where("b > m").select("b", "m").union(least.select("a", "m"))
-    out = work.keep(new.toDF("a", "b").distinct())
+def _upward(work: Workspace, links: DataFrame) -> DataFrame:
+    """Of links (a > b): each node's larger neighbours go to the minimum of node and neighbours."""
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = work.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+    out = work.keep(links.select(F.col("b").alias("a"), F.col("a").alias("b")).join(least, "a").select("b", "m").toDF("a", "b").distinct())
+    work.drop(least)
+    return out
+
+
+def _downward(work: Workspace, links: DataFrame) -> DataFrame:
+    """Of links (a > b): a node and its smaller neighbours go to the smallest of these."""
+    least = work.keep(links.groupBy("a").agg(F.min("b").alias("m")))
+    moved = links.join(least, "a").where("b > m").select("b", "m").toDF("a", "b")
+    out = work.keep(moved.union(least.toDF("a", "b")).distinct())
     work.drop(least)
     return out
 
@@ -34,22 +36,21 @@ def _hang(work: Workspace, links: DataFrame, upward: bool) -> DataFrame:
 def components(spark: SparkSession, links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``links``: two columns of one ordered type.
 
-    ``root`` is the smallest node that is reachable. Nulls and self-links are ignored;
-    an empty table gives an empty table. Raises if ``most_rounds`` do not suffice.
+    ``root`` is the smallest node within reach. Nulls and self-links are ignored, an empty table gives
+    an empty table. Raises if ``most_rounds`` do not suffice.
     """
     work = Workspace(spark, "components")
-    a, b = links.columns[:2]
-    x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
-    now = work.keep(links.where(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct())
+    a, b = (F.col(f"`{c}`") for c in links.columns[:2])
+    now = work.keep(links.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     state = None
     for _ in range(most_rounds):
-        up = _hang(work, now, True)
-        down = _hang(work, up, False)
-        work.drop(now, up)
-        now = down
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == state:
             roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
         state = seen
+        up = _upward(work, now)
+        down = _downward(work, up)
+        work.drop(now, up)
+        now = down
     raise RuntimeError(f"components not found in {most_rounds} rounds")
