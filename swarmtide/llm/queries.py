@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swarmtide.llm import bpe, simhash, toxicity
+from swarmtide.llm import bpe, embeddings, html_text, sharding, simhash, token_files, toxicity
+from swarmtide.plans.workspace import Workspace
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -24,11 +25,34 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{Workspace(spark, 'token-files').root}/flat"
+    token_files.write(_table(spark, sf_dir, "documents"), folder, RANKS, PATTERN)
+    return token_files.count(spark, folder).select("doc_no", "start", "n_tokens", "closed")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text").cast("binary")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    docs = _table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"))
+    out = sharding.shuffle(docs, 40, ["doc_id", "text_crc32", "size"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, RANKS, PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -40,7 +64,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_embeddings": op3_embeddings,
+    "op4_token_counts": op4_token_counts,
+    "op5_sharding": op5_sharding,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
