@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swarmtide.llm import bpe, embeddings, html_text, sharding, simhash, token_files, toxicity
+from swarmtide.llm import (
+    bpe,
+    decontamination,
+    embeddings,
+    html_text,
+    repeats,
+    sharding,
+    simhash,
+    suffix_tree_lm,
+    token_files,
+    toxicity,
+)
 from swarmtide.plans.workspace import Workspace
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,6 +36,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_crc() % 10 == 0, F.lit(False))
+    model, words = suffix_tree_lm.fit(docs.where(~held_out))
+    out = suffix_tree_lm.score(docs, model, words).withColumn("held_out", held_out)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -44,6 +63,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove(docs, keep_text=False)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.leaks(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, RANKS, PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -64,9 +93,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_suffix_tree": op2_suffix_tree,
     "op3_embeddings": op3_embeddings,
     "op4_token_counts": op4_token_counts,
     "op5_sharding": op5_sharding,
+    "op6_repeats": op6_repeats,
+    "op7_decontamination": op7_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,

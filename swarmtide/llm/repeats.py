@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from swarmtide.llm.hashing import BYTES, mixed, power, prefix, spans
 from swarmtide.llm.text import extended, flat, pieces
 from swarmtide.plans.workspace import Workspace
 
@@ -38,36 +39,6 @@ EXTENT = LENGTH + BEFORE
 BITS = 27
 
 _U = np.uint64
-_rng = np.random.default_rng(20)
-_BYTES = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * _U(2) + _U(1)
-_BASES = tuple(int(x) | 5 for x in _rng.integers(1 << 60, 1 << 63, 2, dtype=np.uint64))
-_powers: list[list[np.ndarray]] = [[np.ones(1, np.uint64)] * 2, [np.ones(1, np.uint64)] * 2]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(31))) * _U(0x7FB5D329728EA185)
-    x = (x ^ (x >> _U(27))) * _U(0x81DADEF4BC2DD44D)
-    return x ^ (x >> _U(33))
-
-
-def _power(which: int, n: int) -> list[np.ndarray]:
-    """Powers of a base and of its inverse modulo 2**64, n at least."""
-    if len(_powers[which][0]) < n:
-        for k, base in enumerate((_BASES[which], pow(_BASES[which], -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[which][k] = np.cumprod(steps)
-    return [x[:n] for x in _powers[which]]
-
-
-def _prefix(raw: np.ndarray, which: int) -> np.ndarray:
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTES[which][raw] * _power(which, len(raw))[0], out=sums[1:])
-    return sums
-
-
-def _hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int, size: int) -> np.ndarray:
-    return _mixed((sums[end] - sums[start]) * _power(which, size)[1][start])
 
 
 def _sliding(x: np.ndarray, size: int, f: np.ufunc) -> np.ndarray:
@@ -85,8 +56,8 @@ def triggers(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     n = len(raw)
     if n < LENGTH:
         return none, none, none, none
-    sums = _prefix(raw, 0)
-    h = _mixed((sums[KMER:] - sums[:-KMER]) * _power(0, n + 1)[1][: n - KMER + 1])
+    sums = prefix(raw, 0)
+    h = mixed((sums[KMER:] - sums[:-KMER]) * power(0, n + 1)[1][: n - KMER + 1])
     least = _sliding(h, BEFORE + 1, np.minimum)
     inside = np.zeros(len(least), bool)
     for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
@@ -96,8 +67,8 @@ def triggers(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     place = np.flatnonzero((most == h) & (h != 0))
     text = np.searchsorted(at, place, side="right") - 1
     first, last = np.maximum(at[text], place - BEFORE), np.minimum(at[text + 1], place + LENGTH)
-    phrase = _hash(_prefix(raw, 1), first, last, 1, n + 1)
-    phrase = _mixed(phrase + (place - first).astype(np.uint64) * _U(0x9E3779B97F4A7C15) + (last - place).astype(np.uint64))
+    phrase = spans(prefix(raw, 1), first, last, 1, n + 1)
+    phrase = mixed(phrase + (place - first).astype(np.uint64) * _U(0x9E3779B97F4A7C15) + (last - place).astype(np.uint64))
     return text, place - at[text], h[place].view(np.int64), phrase.view(np.int64)
 
 
@@ -198,11 +169,11 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             column = np.arange(len(raw)) - np.repeat(at[:-1] - (BEFORE - left), size)
             laid[row, column] = raw
             sums = np.zeros((len(size), EXTENT + 1), np.uint64)
-            up, down = _power(0, EXTENT + 1)
-            np.cumsum(_BYTES[0][laid] * up[:EXTENT], axis=1, out=sums[:, 1:])
+            up, down = power(0, EXTENT + 1)
+            np.cumsum(BYTES[0][laid] * up[:EXTENT], axis=1, out=sums[:, 1:])
             begin = np.arange(BEFORE + 1)
-            windows = _mixed((sums[:, LENGTH:] - sums[:, : BEFORE + 1]) * down[: BEFORE + 1] + begin.astype(np.uint64))
-            windows = _mixed(windows ^ trigger.view(np.uint64)[:, None])
+            windows = mixed((sums[:, LENGTH:] - sums[:, : BEFORE + 1]) * down[: BEFORE + 1] + begin.astype(np.uint64))
+            windows = mixed(windows ^ trigger.view(np.uint64)[:, None])
             whole = (begin >= (BEFORE - left)[:, None]) & (begin + LENGTH <= (BEFORE - left + size)[:, None])
             x, y = np.nonzero(whole)
             keys = windows[x, y]
@@ -270,11 +241,11 @@ def remove(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text:
     brought = work.keep(brought)
     several = brought.where("trigger is not null").select("trigger", "doc", "place", "left", "phrase")
     several = several.repartition("trigger").sortWithinPartitions("trigger", "doc", "place")
-    spans = brought.where("lo is not null").select("doc", "lo", "hi")
-    spans = spans.union(several.mapInArrow(_suffixes, "doc bigint, lo bigint, hi bigint"))
+    gone = brought.where("lo is not null").select("doc", "lo", "hi")
+    gone = gone.union(several.mapInArrow(_suffixes, "doc bigint, lo bigint, hi bigint"))
     old = found.where("doc is not null").select("doc", (F.col("place") - BEFORE).alias("lo"), (F.col("place") + LENGTH).alias("hi"))
-    spans = spans.union(old).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("lo").alias("__lo"), F.collect_list("hi").alias("__hi"))
-    joined = whole.join(spans, "__doc", "left").select(*(f"`{c}`" for c in kept if c != text), "__text", "__lo", "__hi")
+    gone = gone.union(old).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("lo").alias("__lo"), F.collect_list("hi").alias("__hi"))
+    joined = whole.join(gone, "__doc", "left").select(*(f"`{c}`" for c in kept if c != text), "__text", "__lo", "__hi")
     return _cut(joined, df, kept, text, keep_text)
 
 
@@ -296,8 +267,8 @@ def _cut(joined: DataFrame, df: DataFrame, kept: list[str], text: str, keep_text
                     np.add.at(gone, np.minimum(hi.values.to_numpy(), len(raw)), -1)
                 gone = np.cumsum(gone)[:-1] > 0
                 rest = raw[~gone].tobytes()
-                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(len(gone) > 0 and gone[0])
-                rows.append((len(raw), int(gone.sum()), spans, hashlib.sha256(rest).hexdigest()))
+                n_spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(len(gone) > 0 and gone[0])
+                rows.append((len(raw), int(gone.sum()), n_spans, hashlib.sha256(rest).hexdigest()))
                 left.append(rest.decode(errors="ignore") if is_text else rest)
             columns = list(zip(*rows)) or [[]] * 4
             columns = [pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
