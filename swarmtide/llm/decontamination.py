@@ -1,10 +1,13 @@
 """Benchmark decontamination: block-max WAND over a BM25 index of test items.
 
 Roles are turned round: the few test items are indexed, and every passage of every training text is a query.
-An item's score is its BM25 sum over the terms that the passage holds, as a share of the item's own
-sum, so that one threshold fits short and long items. Passages are runs of twice the longest item's words that
-overlap by half, so each run of an item's length lies in one. Before the index is asked, a passage whose terms could not reach the
-threshold for any item (the sum of each distinct term's best share) is passed over; that is WAND's own bound.
+An item's score is its BM25 sum over the terms that the passage holds, as a share of the least sum of a passage
+that could be verified: if at most n of its shingles miss, at most n of its words do, and the worst case are its n heaviest. So the
+threshold is 1 for every item, and no leak that verification would accept scores less. Passages are runs of twice the longest item's words that
+overlap by half, so each run of an item's length lies in one.
+
+Before postings are walked, all passages of a batch are bounded at once by block maxima: the best share of each rarer term
+within each block of items, and each common term's best share anywhere. Only blocks that can reach 1 are walked.
 
 Each retrieved item is then verified: the share of its five-word shingles that the passage holds, for the whole item,
 its question (all but the last sentence) and its answer (the last sentence; of a single sentence, the last third).
@@ -15,6 +18,7 @@ over the texts each.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -30,11 +34,12 @@ from swarmtide.llm.text import extended, slices
 from swarmtide.plans.workspace import Workspace
 
 SHARD_BYTES = 16 << 20
-THRESHOLD = 0.4
 SIMILARITY = 0.8
 SHINGLE = 5
 K1, B = 1.2, 0.75
 POSTINGS = 32
+#: Items of a block, for bounds that are taken before the walk.
+BLOCK = 4
 
 _PLAIN = bytes(c + 32 if 65 <= c < 91 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -59,7 +64,8 @@ def _question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
 class Index:
     """Postings (item, share) by term, in order of items, with the best share of a term and of each block of postings."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY) -> None:
+        self.similarity = similarity
         self.items = [(i, w, text) for i, text in items if (w := words(text))]
         self.checks = []
         bags = []
@@ -84,18 +90,39 @@ class Index:
                 t: math.log(1 + (n - held[t] + 0.5) / (held[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean))
                 for t, f in bag.items()
             }
-            whole = sum(part.values())
+            lost = max(self._lost(self.checks[i][0], similarity), self._lost(self.checks[i][1], similarity) + self._lost(self.checks[i][2], similarity))
+            # what a passage must score that holds enough of the shingles: those that miss take ``lost`` words along at most
+            least = max(sum(sorted(part.values())[: len(part) - lost]), 1e-9 * sum(part.values()))
             for t, x in part.items():
-                lists[self.number[t]].append((i, x / whole))
+                lists[self.number[t]].append((i, x / least))
         self.postings = [([i for i, _ in x], [s for _, s in x]) for x in lists]
         self.best = np.array([max(s) for _, s in self.postings] or [0.0])
         self.blocks = [[max(s[k : k + POSTINGS]) for k in range(0, len(s), POSTINGS)] for _, s in self.postings]
         self.longest = max([len(w) for _, w, _ in self.items], default=1)
-
-    def reach(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """(item, share) of every item whose terms in the passage reach the threshold: block-max WAND."""
-        end = len(self.items)
-        cursors = [[self.postings[t][0][0], 0, t] for t in terms]
+        self._sizes = {len(next(iter(s))) for check in self.checks for s in check if s} - {SHINGLE}
+        # block maxima as flat lists; a term in many items has one bound for all blocks
+        self.common = np.array([len(x) * 8 > n for x in lists] or [False])
+        block = [{} for _ in lists]
+        for found, x in zip(block, lists):
+            for i, share in x:
+                found[i // BLOCK] = max(found.get(i // BLOCK, 0.0), share)
+        block = [{} if many else found for found, many in zip(block, self.common)]
+        self.block_n = np.array([len(x) for x in block] or [0])
+        self.block_at = np.cumsum(self.block_n) - self.block_n
+        self.block = np.array([b for x in block for b in x], np.int64)
+        self.block_best = np.array([v for x in block for v in x.values()])
+
+    @staticmethod
+    def _lost(s: set[tuple[bytes, ...]], similarity: float) -> int:
+        return int(len(s) * (1 - similarity) + 1e-9)
+
+    def reach(self, terms: list[int], low: int, end: int) -> list[tuple[int, float]]:
+        """(item, score) of items from ``low`` to before ``end`` that the passage's terms bring to 1: block-max WAND."""
+        cursors = []
+        for t in terms:
+            k = self._first(t, 0, low) if self.postings[t][0][0] < low else 0
+            if k < len(self.postings[t][0]) and self.postings[t][0][k] < end:
+                cursors.append([self.postings[t][0][k], k, t])
         out = []
         while True:
             cursors = [c for c in cursors if c[0] < end]
@@ -103,7 +130,7 @@ class Index:
             bound, pivot = 0.0, -1
             for k, c in enumerate(cursors):
                 bound += self.best[c[2]]
-                if bound >= threshold - 1e-9:
+                if bound >= 1 - 1e-9:
                     pivot = k
                     break
             if pivot < 0:
@@ -112,13 +139,13 @@ class Index:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == at:
                 pivot += 1
             near = sum(self._block_best(c, at) for c in cursors[: pivot + 1])
-            if near < threshold - 1e-9:
+            if near < 1 - 1e-9:
                 # nothing up to the end of the first of these blocks, or the next term's item, can reach it
                 to = min([self._block_end(c, at) + 1 for c in cursors[: pivot + 1]] + [c[0] for c in cursors[pivot + 1 :][:1]])
                 to = max(to, at + 1)
             elif cursors[0][0] == at:
                 share = sum(self.postings[t][1][k] for i, k, t in cursors[: pivot + 1])
-                if share >= threshold - 1e-9:
+                if share >= 1 - 1e-9:
                     out.append((at, share))
                 to = at + 1
             else:
@@ -153,40 +180,56 @@ class Index:
             c[1] = self._first(c[2], c[1], item)
             c[0] = found[c[1]] if c[1] < len(found) else end
 
-    def leaks(self, text: str | None, threshold: float, similarity: float) -> list[tuple[int, int, float, float, float, float]]:
-        """(item, first word of the passage, share, overlap, question's, answer's) of the best passage for each item found."""
-        w = words(text)
-        ids = np.array(list(map(self.number.get, w, repeat(-1))), np.int64)
-        at = np.flatnonzero(ids >= 0)
-        if not len(at):
+    def _survivors(self, passage: np.ndarray, term: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """Ranges of items, by passage, whose block maxima can reach 1."""
+        many = len(self.items) // BLOCK + 1
+        base = np.bincount(passage, np.where(self.common[term], self.best[term], 0.0))
+        n = self.block_n[term]
+        at = np.repeat(self.block_at[term] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        pairs, back = np.unique(np.repeat(passage, n) * many + self.block[at], return_inverse=True)
+        fits = np.bincount(back, self.block_best[at], len(pairs)) + base[pairs // many] >= 1 - 1e-9
+        out: dict[int, list[tuple[int, int]]] = {}
+        for p, b in zip((pairs[fits] // many).tolist(), (pairs[fits] % many).tolist()):
+            out.setdefault(p, []).append((b * BLOCK, min((b + 1) * BLOCK, len(self.items))))
+        return out | {p: [(0, len(self.items))] for p in np.flatnonzero(base >= 1 - 1e-9).tolist()}
+
+    def leaks(self, texts: list[str | None]) -> list[tuple[int, int, int, float, float, float, float]]:
+        """(text, item, first word of the passage, score, overlap, question's, answer's) of the best passage for each item found."""
+        if not self.items:
             return []
         stride, many = self.longest, len(self.number)
-        run = at // stride
-        # a run of words belongs to the passage that it opens and to the one before
-        keys = np.unique(np.concatenate([run * many + ids[at], (run[run > 0] - 1) * many + ids[at][run > 0]]))
-        passage, term = keys // many, keys % many
-        bound = np.bincount(passage, self.best[term])
-        out: dict[int, tuple[int, int, float, float, float, float]] = {}
-        for p in np.flatnonzero(bound >= threshold - 1e-9).tolist():
+        keys, whole, first = [], [], [0]
+        for text in texts:
+            w = words(text)
+            whole.append(w)
+            ids = np.array(list(map(self.number.get, w, repeat(-1))), np.int64)
+            at = np.flatnonzero(ids >= 0)
+            run, ids = at // stride + first[-1], ids[at]
+            # a run of words belongs to the passage that it opens and to the one before
+            keys += [run * many + ids, ((run - 1) * many + ids)[run > first[-1]]]
+            first.append(first[-1] + len(w) // stride + 1)
+        key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        if not len(key):
+            return []
+        passage, term = key // many, key % many
+        out: dict[tuple[int, int], tuple[int, int, int, float, float, float, float]] = {}
+        for p, ranges in self._survivors(passage, term).items():
             i, j = np.searchsorted(passage, [p, p + 1])
-            found = self.reach(term[i:j].tolist(), threshold)
+            terms = term[i:j].tolist()
+            found = [x for low, end in ranges for x in self.reach(terms, low, end)]
             if not found:
                 continue
-            have = shingles(w[p * stride : (p + 2) * stride])
-            have |= {tuple(x) for n in range(1, SHINGLE) if self._short(n) for x in zip(*(w[p * stride + k : (p + 2) * stride] for k in range(n)))}
-            for item, share in found:
+            text = bisect.bisect_right(first, p) - 1
+            begin = (p - first[text]) * stride
+            run = whole[text][begin : begin + 2 * stride]
+            have = shingles(run).union(*(zip(*(run[k:] for k in range(n))) for n in self._sizes))
+            for item, score in found:
                 overlap, question, answer = (len(s & have) / len(s) if s else 1.0 for s in self.checks[item])
-                if overlap >= similarity or (question >= similarity and answer >= similarity):
-                    if item not in out or out[item][3] < overlap:
-                        out[item] = item, p * stride, share, overlap, question, answer
+                if overlap >= self.similarity or (question >= self.similarity and answer >= self.similarity):
+                    if (text, item) not in out or out[text, item][4] < overlap:
+                        out[text, item] = text, item, begin, score, overlap, question, answer
         return list(out.values())
 
-    def _short(self, n: int) -> bool:
-        """Whether some item, question or answer has n words only, so that it is a shingle of n."""
-        if not hasattr(self, "_sizes"):
-            self._sizes = {len(next(iter(s))) for check in self.checks for s in check if s}
-        return n in self._sizes
-
 
 def leaks(
     docs: DataFrame,
@@ -195,7 +238,6 @@ def leaks(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
-    threshold: float = THRESHOLD,
     similarity: float = SIMILARITY,
     shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
@@ -206,13 +248,13 @@ def leaks(
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     out = None
-    for index in _indexes(docs.sparkSession, items, item_id, item_text, shard_bytes):
-        found = _search(source, index, threshold, similarity)
+    for index in _indexes(docs.sparkSession, items, item_id, item_text, similarity, shard_bytes):
+        found = _search(source, index)
         out = found if out is None else out.union(found)
     return out.withColumnsRenamed({"doc_id": doc_id, "item_id": item_id})
 
 
-def _indexes(spark: SparkSession, items: DataFrame, item_id: str, item_text: str, shard_bytes: int) -> Iterator[Broadcast]:
+def _indexes(spark: SparkSession, items: DataFrame, item_id: str, item_text: str, similarity: float, shard_bytes: int) -> Iterator[Broadcast]:
     """Broadcast indexes of shards of items, each of about ``shard_bytes`` of text."""
     work = Workspace(spark, "benchmark")
     known = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("x"))
@@ -221,10 +263,10 @@ def _indexes(spark: SparkSession, items: DataFrame, item_id: str, item_text: str
     shards = -(-size // shard_bytes) or 1
     known = work.keep(known.withColumn("s", F.pmod(F.xxhash64("i", "x"), F.lit(shards))))
     for s in range(shards):
-        yield spark.sparkContext.broadcast(Index([(r.i, r.x) for r in known.where(F.col("s") == s).orderBy("i", "x").collect()]))
+        yield spark.sparkContext.broadcast(Index([(r.i, r.x) for r in known.where(F.col("s") == s).orderBy("i", "x").collect()], similarity))
 
 
-def _search(source: DataFrame, index, threshold: float, similarity: float) -> DataFrame:
+def _search(source: DataFrame, index: Broadcast) -> DataFrame:
     names = ["item_id", "passage", "score", "overlap", "question_overlap", "answer_overlap"]
     schema = extended(source, ["doc_id"], "item_id bigint, passage bigint, score double, overlap double, question_overlap double, answer_overlap double")
 
@@ -232,7 +274,7 @@ def _search(source: DataFrame, index, threshold: float, similarity: float) -> Da
         at = index.value
         for batch in batches:
             for part in slices(batch, 1):
-                found = [(k, *x) for k, t in enumerate(part.column(1).to_pylist()) for x in at.leaks(t, threshold, similarity)]
+                found = at.leaks(part.column(1).to_pylist())
                 rows = part.column(0).take(pa.array([x[0] for x in found], pa.int64()))
                 ids = pa.array([at.items[x[1]][0] for x in found], pa.int64())
                 rest = [pa.array([x[2] for x in found], pa.int64()), *(pa.array([x[k] for x in found], pa.float64()) for k in (3, 4, 5, 6))]
@@ -247,19 +289,19 @@ def clean(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
-    threshold: float = THRESHOLD,
     similarity: float = SIMILARITY,
     shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns, found as ``leaks`` finds them."""
     at = docs.columns.index(text)
-    for index in _indexes(docs.sparkSession, items, item_id, item_text, shard_bytes):
+    for index in _indexes(docs.sparkSession, items, item_id, item_text, similarity, shard_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, at):
-                    fine = [not index.value.leaks(t, threshold, similarity) for t in part.column(at).to_pylist()]
-                    yield part.filter(pa.array(fine, pa.bool_()))
+                    fine = np.ones(len(part), bool)
+                    fine[[x[0] for x in index.value.leaks(part.column(at).to_pylist())]] = False
+                    yield part.filter(pa.array(fine))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
