@@ -1,6 +1,6 @@
 """Toxic passages: maximum-scoring segments of token log-odds, judged as extreme values.
 
-*Weights.* Of labelled documents, toxic and clean ones that hold a token are counted. A
+*Weights.* Of a bounded sample of labelled documents, toxic and clean ones that hold a token are counted. A
 token's weight is its log-odds ratio under a Dirichlet prior in proportion to its share of all
 labelled documents, less ``DOUBT`` standard errors, and where positive less the drift. Tokens in less than ``SHARE`` of
 the toxic documents have no weight: so the table is bounded by (mean distinct tokens of a toxic
@@ -13,7 +13,7 @@ tops an earlier one.
 *Calibration.* For independent tokens drawn as in clean documents, the best of n tokens exceeds S with
 probability 1 - exp(-K n exp(-lambda S)), where lambda solves E[exp(lambda s)] = 1. A passage is
 significant at 5 % of that. A logistic curve over the sum of the significant passages' excess, in
-bins counted over all labelled rows, gives the score.
+bins counted over the same rows, gives the score.
 
 Labels, language, source and id are never inputs of a score.
 """
@@ -38,6 +38,8 @@ PRIOR = 50.0
 DRIFT = 0.1
 LEVEL = 0.05
 BINS = 48
+#: Labelled rows that a model is fitted on, at most: some hundred kilobytes of ids and labels are broadcast.
+MOST_ROWS = 40_000
 
 _PLAIN = bytes(c + 32 if 65 <= c < 91 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -138,8 +140,10 @@ def _logistic(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(max(at[1], 1e-3)), float(at[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Learns from every labelled row.
+def fit(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS
+) -> Model:
+    """Learns from up to ``most_rows`` labelled rows, those whose ids have the smallest hashes.
 
     Rows with a null label or id are left out, of several labels for an id the largest counts. Without toxic or clean rows the
     model has no weights and gives every text one score.
@@ -148,7 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     work = Workspace(spark, "toxicity")
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     known = known.groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    rows = work.keep(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(known, "id").select("y", "t"))
+    taken = work.keep(known.orderBy(F.xxhash64("id"), "id").limit(most_rows))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(taken), "id").select("y", "t")
+    rows = work.keep(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = Counter(), Counter()
@@ -197,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     for r in rows.mapInArrow(binned, "bin int, y int, n bigint").groupBy("bin", "y").agg(F.sum("n").alias("n")).collect():
         table[r.bin, r.y] += r.n
     model.slope, model.base = _logistic([(b / 8, table[b, 0], table[b, 1]) for b in sorted({b for b, _ in table})])
-    work.drop(rows, counts)
+    work.drop(rows, counts, taken)
     return model
 
 
