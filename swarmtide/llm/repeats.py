@@ -123,12 +123,11 @@ def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    """Spans of sorted (doc, lo), joined where they touch."""
+    """Spans in the order given, each joined to the one before where it goes on from it."""
     if len(doc) == 0:
         return _batch("doc lo hi", doc.astype(np.int64), lo.astype(np.int64), hi.astype(np.int64))
     cut = np.ones(len(doc), bool)
-    # spans have one length but at a text's edges, so ends rise with beginnings
-    cut[1:] = (doc[1:] != doc[:-1]) | (lo[1:] > hi[:-1])
+    cut[1:] = (doc[1:] != doc[:-1]) | (lo[1:] > hi[:-1]) | (lo[1:] < lo[:-1])
     i = np.flatnonzero(cut)
     return _batch("doc lo hi", doc[i], lo[i], np.maximum.reduceat(hi, i))
 

@@ -146,7 +146,7 @@ def fit(
     """Learns from up to ``most_rows`` labelled rows, those whose ids have the smallest hashes.
 
     Rows with a null label or id are left out, of several labels for an id the largest counts. Without toxic or clean rows the
-    model has no weights and gives every text one score.
+    model has no weights and gives every text one score, below the threshold.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "toxicity")
@@ -199,6 +199,10 @@ def fit(
                     seen[min(BINS, round(8 * math.log1p(model.evidence(tokens(t))))), int(y > 0)] += 1
         yield pa.RecordBatch.from_pylist([{"bin": b, "y": y, "n": n} for (b, y), n in seen.items()], schema=pa.schema([("bin", pa.int32()), ("y", pa.int32()), ("n", pa.int64())]))
 
+    if not (toxic and clean):
+        model.base = -4.0
+        work.drop(rows, counts, taken)
+        return model
     table = Counter()
     for r in rows.mapInArrow(binned, "bin int, y int, n bigint").groupBy("bin", "y").agg(F.sum("n").alias("n")).collect():
         table[r.bin, r.y] += r.n

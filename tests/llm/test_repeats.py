@@ -76,5 +76,10 @@ def test_null_and_repeated_ids(spark):
     check(spark, rows, lambda i, raw: (i is not None, i or 0, hashlib.sha256(raw).hexdigest()))
 
 
+def test_whole_documents_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    check(spark, [tuple(r) for r in docs.collect()], lambda i, raw: (i,))
+
+
 def test_empty(spark):
     assert repeats.remove(spark.createDataFrame([], "doc_id long, text string")).count() == 0
