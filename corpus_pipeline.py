@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swarmtide.llm import bpe, decontamination, repeats, simhash, toxicity
+from swarmtide.llm import bpe, decontamination, near_copies, repeats, toxicity
 from swarmtide.llm.queries import PATTERN, RANKS
 from swarmtide.plans.workspace import Workspace
 
@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates (five-word shingles) the document with the smallest id stays."""
-    return simhash.keep_one(docs, size=5)
+    """Of each component of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays."""
+    return near_copies.keep_one(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

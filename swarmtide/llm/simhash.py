@@ -187,27 +187,3 @@ def near_duplicates(
         F.col("id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
-
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, most: int = 3, crowd: int = CROWD) -> DataFrame:
-    """The rows of ``df`` with the smallest id of their component; columns as they are.
-
-    Of rows that share that id the one with the smallest hash of its text stays. Rows with a null id stay where no row with an id is
-    in their component, one for each fingerprint. Only ids of rows that go are matched with the texts, by their hash table if it is
-    small and else by a shuffle.
-    """
-    work = Workspace(df.sparkSession, "simhash")
-    mark = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    docs = fingerprints(df.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), mark.alias("h")), "t", size)
-    docs = work.keep(docs.select("id", "h", F.col("fingerprint").alias("fp")))
-    named = _components(work, docs, most, crowd)
-    placed = docs.join(named, "fp")
-    rank = F.struct(F.col("id").isNull(), "id", "h")
-    stays = placed.groupBy(F.coalesce("component_id", "fp").alias("c"), F.col("component_id").isNull().alias("nameless"))
-    stays = stays.agg(F.min(rank).alias("r")).select("r.id", "r.h").distinct()
-    rows = df.withColumn("__h", mark)
-    kept = rows.join(stays.toDF("__id", "__kept"), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__kept")), "left_semi")
-    # rows equal in id and text are one document
-    again = docs.groupBy("id", "h").count().where("count > 1")
-    if again.take(1):
-        kept = kept.dropDuplicates([doc_id, "__h"])
-    return kept.drop("__h")
