@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from swarmtide.config import EngineConfig
 from swarmtide.functions.cosmology import hubble_number
 from swarmtide.operators import lookups
-from swarmtide.operators.unbinding import COLUMNS, Physics, core, mean_frame, resolve
+from swarmtide.operators.unbinding import COLUMNS, Physics, mean_frame, resolve
 from swarmtide.plans.ordering import numbered
 from swarmtide.sources import registry
 
@@ -89,7 +89,6 @@ def _host(rows: pd.DataFrame, snapshot: int, p: Physics, ratio: float, merge: bo
             part = part[~part["id"].isin(claimed)]
             claimed.update(part["id"])
             lists[t] = part.assign(ord=np.arange(len(part)))
-    lists = {t: part for t, part in lists.items()}
     done = resolve(lists, parent, orphans, p, merge, frames)
     out_tracks, out_lists = [], []
     for t, m in tracks.items():
