@@ -1,11 +1,13 @@
-"""SimHash near-duplicates down to a shingle similarity of 0.8, by pigeonhole blocks of content.
+"""SimHash near-duplicates down to a shingle similarity of 0.8, by a prefix filter on shingles.
 
 A 64-bit fingerprint at three bits finds copies with very few changes only: at similarity 0.8 about 10 bits differ. So here
-a text is cut into blocks of words where its own words say so (the next cut after a change falls where it fell before), and a
-copy with fewer changes than blocks shares a whole block. Each text files the ``BLOCKS`` of its blocks with the smallest hashes,
-which copies choose alike. Under each block the text with the smallest id is compared with the others by a 256-bit
-SimHash of five-word shingles, at the Hamming distance that corresponds to the similarity; no pairs are listed.
-A block that unrelated texts share (a common passage) compares in vain; copies meet under their other blocks.
+each text files its shingles with the smallest hashes, as many as it may lose at that similarity and one more: of two sets
+with a Jaccard similarity of 0.8 or more, these prefixes always have a shingle in common, whatever else they share with
+other texts. It also files the ``BLOCKS`` smallest of its content-defined blocks of words, which bring some texts just below 0.8 together.
+
+Under each key a breadth-first search over all its texts links what a 256-bit SimHash of five-word shingles puts within the Hamming
+distance that corresponds to the similarity; each text is reached once, and no pairs are listed. Keys of more than ``CROWD`` texts (a
+common passage) are split by numbers of shingles, which similar texts have alike, and then into tiles that meet two by two: nothing is left out.
 
 To these links come those of ``simhash.link`` between 64-bit fingerprints; texts with one fingerprint are one node.
 """
@@ -27,6 +29,8 @@ from swarmtide.plans.components import components
 from swarmtide.plans.workspace import Workspace
 
 BLOCKS = 8
+#: Texts of a key that one search takes.
+CROWD = 4096
 #: One word in so many ends a block.
 WORDS = 12
 WIDE = 4
@@ -81,8 +85,22 @@ def blocks(words: Words) -> list[np.ndarray]:
     return out
 
 
-def marked(df: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """(id, h, fp, w, blocks) of each row; h: a hash of the text. Null counts as empty."""
+def prefixes(h: np.ndarray, many: np.ndarray, similarity: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each text's smallest distinct shingle hashes, of which similar texts share one, and its number of distinct shingles."""
+    text = np.repeat(np.arange(len(many)), many)
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    h, text = h[new], text[new]
+    m = np.bincount(text, minlength=len(many))
+    most = np.where(m > 0, m - np.ceil(similarity * m - 1e-9).astype(np.int64) + 1, 0)
+    ends = np.cumsum(m)
+    return [h[i : i + k].view(np.int64) for i, k in zip((ends - m).tolist(), most.tolist())], m
+
+
+def marked(df: DataFrame, doc_id: str, text: str, size: int, similarity: float) -> DataFrame:
+    """(id, h, fp, w, m, keys) of each row; h: a hash of the text, m: distinct shingles. Null counts as empty."""
     rows = df.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     kind = dict(rows.dtypes)["id"]
 
@@ -92,25 +110,99 @@ def marked(df: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
                 words = Words(raw, at)
                 h, many = shingle_hashes(words, size)
                 found = wide(h, many).view(np.int64)
-                lists = blocks(words)
+                least, m = prefixes(h, many, similarity)
+                lists = [np.concatenate(x) for x in zip(blocks(words), least)]
                 ends = pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
                 filed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
                 w = pa.ListArray.from_arrays(pa.array(np.arange(0, WIDE * len(many) + 1, WIDE, dtype=np.int32)), pa.array(found.ravel()))
                 fp = pa.array(simhash.of_words(words, size).view(np.int64))
-                columns = [batch.column(0).slice(part.start, len(many)), batch.column(2).slice(part.start, len(many)), fp, w, filed]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "fp", "w", "blocks"])
-
-    return rows.select("id", "t", F.xxhash64("t").alias("h")).mapInArrow(run, f"id {kind}, h bigint, fp bigint, w array<bigint>, blocks array<bigint>")
+                columns = [batch.column(0).slice(part.start, len(many)), batch.column(2).slice(part.start, len(many)), fp, w, pa.array(m), filed]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "fp", "w", "m", "keys"])
+
+    return rows.select("id", "t", F.xxhash64("t").alias("h")).mapInArrow(run, f"id {kind}, h bigint, fp bigint, w array<bigint>, m bigint, keys array<bigint>")
+
+
+class Texts:
+    """Rows (group, fp, w) in hand."""
+
+    def __init__(self, rows: pa.Table, similarity: float) -> None:
+        self.fp = rows["fp"].to_numpy()
+        self.w = rows["w"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDE).view(np.uint64)
+        self.most = most_bits(similarity)
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.w[a] ^ self.w[b]).sum(axis=1, dtype=np.int64) <= self.most
+
+    def spanning(self, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links that join what is similar within runs of equal groups, each text reached once."""
+        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        size = np.diff(np.append(start, len(group)))
+        first, every = np.repeat(start, size), np.arange(len(group))
+        near = (first == every) | self.similar(first, every)
+        yield first[near], every[near]
+        # runs of more than two where the first text does not reach all
+        rest = size - np.add.reduceat(near.astype(np.int64), start)
+        for i, n in zip(start[(rest > 0) & (size > 2)].tolist(), size[(rest > 0) & (size > 2)].tolist()):
+            run = np.arange(i, i + n)
+            front, left = run[near[i : i + n]][1:], run[~near[i : i + n]]
+            while len(left):
+                if not len(front):
+                    front, left = left[:1], left[1:]
+                here, front = front[:1], front[1:]
+                found = self.similar(here, left)
+                if found.any():
+                    yield np.repeat(here, found.sum()), left[found]
+                    front, left = np.concatenate([front, left[found]]), left[~found]
+
+
+def _searched(rows: DataFrame, names: list[str], similarity: float) -> DataFrame:
+    """Links (a, b) within the groups of ``names``, which hold a few thousand texts at most."""
 
-
-def links(work: Workspace, fps: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between fingerprints of (fp, least, w, blocks) that a block joins to its smallest text."""
-    filed = fps.select("fp", "least", "w", F.explode("blocks").alias("block"))
-    least = filed.groupBy("block").agg(F.min(F.struct(F.col("least").isNull().alias("n"), "least", "fp", "w")).alias("r"), F.count("*").alias("k"))
-    least = work.keep(least.where("k > 1").select("block", F.col("r.fp").alias("b"), F.col("r.w").alias("wb")))
-    pairs = filed.join(least, "block").where("fp != b")
-    bits = sum((F.bit_count(F.col("w")[k].bitwiseXOR(F.col("wb")[k])) for k in range(1, WIDE)), F.bit_count(F.col("w")[0].bitwiseXOR(F.col("wb")[0])))
-    return work.keep(pairs.where(bits <= most_bits(similarity)).select(F.col("fp").alias("a"), "b").distinct())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(rows: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+            texts = Texts(rows, similarity)
+            pairs = [np.concatenate(x) for x in zip(*texts.spanning(group))]
+            a, b = texts.fp[pairs[0]], texts.fp[pairs[1]]
+            pair = np.unique(np.stack([a, b], 1)[a != b], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=["a", "b"])
+
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = (now if held is None else pa.concat_tables([held, now])).combine_chunks()
+            if not now.num_rows:
+                continue
+            columns = [now[c].to_numpy() for c in names]
+            edge = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in columns], axis=0)])
+            cut = int(np.flatnonzero(edge)[-1])
+            if cut:
+                yield from links(now.slice(0, cut).combine_chunks(), np.cumsum(edge[:cut]))
+            held = now.slice(cut)
+        if held is not None and held.num_rows:
+            yield from links(held.combine_chunks(), np.zeros(held.num_rows, np.int64))
+
+    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a bigint, b bigint")
+
+
+def links(work: Workspace, texts: DataFrame, similarity: float, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) between fingerprints of different texts (h, fp, w, m, keys) that span what is similar under each key."""
+    filed = texts.select(F.explode(F.array_distinct("keys")).alias("key"), "h", "fp")
+    sizes = work.keep(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = filed.join(sizes, "key").select("key", "h", "fp", (F.col("n") > crowd).alias("crowded"))
+    shared = work.keep(shared.join(texts.select("h", "fp", "w", "m"), ["h", "fp"]))
+    found = _searched(shared.where("not crowded").select("key", "fp", "w"), ["key"], similarity)
+    if sizes.where(F.col("n") > crowd).take(1):
+        # texts whose numbers of shingles differ by no more than the similarity allows share a band
+        band = F.floor(F.log("m") / F.lit(-math.log(similarity) + 1e-9))
+        banded = shared.where("crowded").select("key", F.explode(F.array(band, band + 1)).alias("band"), "h", "fp", "w")
+        parts = banded.groupBy("key", "band").agg(F.ceil(F.count("*") / F.lit(crowd)).alias("parts"))
+        parts = work.keep(parts)
+        tile = F.pmod(F.xxhash64("h", F.lit(1)), F.col("parts"))
+        tiled = banded.join(parts, ["key", "band"]).withColumn("tile", tile)
+        tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        tiled = tiled.select("key", "band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "fp", "w")
+        found = found.union(_searched(tiled, ["key", "band", "i", "j"], similarity))
+    return work.keep(found.distinct())
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -121,10 +213,10 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
     """
     spark = df.sparkSession
     work = Workspace(spark, "near-copies")
-    docs = work.keep(marked(df, doc_id, text, size))
-    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "h", "w", "blocks")).alias("r")
-    fps = work.keep(docs.groupBy("fp").agg(first).select("fp", F.col("r.id").alias("least"), "r.w", "r.blocks"))
-    near = links(work, fps, similarity).union(simhash.link(work, fps))
+    docs = work.keep(marked(df, doc_id, text, size, similarity))
+    fps = work.keep(docs.groupBy("fp").agg(F.min("id").alias("least")))
+    texts = work.keep(docs.drop("id").dropDuplicates(["h", "fp"]))
+    near = links(work, texts, similarity).union(simhash.link(work, fps))
     roots = work.keep(components(spark, near))
     named = fps.select("fp", "least").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = work.keep(named)

@@ -59,3 +59,38 @@ def test_blocks_and_fingerprints_of_texts():
         h, many = near_copies.shingle_hashes(alone, 5)
         whole, counts = near_copies.shingle_hashes(words, 5)
         assert (near_copies.wide(h, many)[0] == near_copies.wide(whole, counts)[k]).all()
+
+
+def families(many=80, seed=5):
+    """Of each family an old version (the smallest id), a new one with a quarter of its words new, and a near copy of the new one."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    rows = []
+    for k in range(many):
+        old = [word() for _ in range(400)]
+        new = old[:300] + [word() for _ in range(100)]
+        near = list(new)
+        for _ in range(3):
+            near[rng.randrange(len(near))] = word()
+        rows += [(10 * k + i, " ".join(x)) for i, x in enumerate((old, new, near))]
+    return rows
+
+
+def test_copies_meet_beside_an_older_version(spark):
+    rows = families()
+    text = dict(rows)
+    kept = {r.doc_id for r in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(jaccard(text[i], text[i + 1]) >= 0.9 for i in text if i % 10 == 1)
+    assert {i for i in text if i % 10 == 0} <= kept
+    assert not [i for i in kept if i % 10 == 2]
+
+
+def test_crowds_are_searched_whole(spark):
+    from swarmtide.plans.workspace import Workspace
+
+    passage = " ".join(f"common{k}" for k in range(60))
+    rows = [(i, passage + " " + t) for i, t in families(20)] + [(9000 + k, passage + f" {k}" * (k % 7)) for k in range(20)]
+    docs = near_copies.marked(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5, 0.8)
+    texts = docs.drop("id").dropDuplicates(["h", "fp"]).cache()
+    whole, split = ({frozenset(r) for r in near_copies.components(spark, near_copies.links(Workspace(spark, "t"), texts, 0.8, c)).collect()} for c in (4096, 4))
+    assert whole == split and len(whole) >= 40
