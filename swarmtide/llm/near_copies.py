@@ -6,7 +6,8 @@ with a Jaccard similarity of 0.8 or more, these prefixes always have a shingle i
 other texts. It also files the ``BLOCKS`` smallest of its content-defined blocks of words, which bring some texts just below 0.8 together.
 
 Under each key a breadth-first search over all its texts links what a 256-bit SimHash of five-word shingles puts within the Hamming
-distance that corresponds to the similarity; each text is reached once, and no pairs are listed. Keys of more than ``CROWD`` texts (a
+distance that corresponds to the similarity; each text is reached once, and no pairs are listed. Of few shingles a SimHash says
+little, so texts of up to ``FEW`` carry them and are compared by their Jaccard similarity. Keys of more than ``CROWD`` texts (a
 common passage) are split by numbers of shingles, which similar texts have alike, and then into tiles that meet two by two: nothing is left out.
 
 To these links come those of ``simhash.link`` between 64-bit fingerprints; texts with one fingerprint are one node.
@@ -31,6 +32,8 @@ from swarmtide.plans.workspace import Workspace
 BLOCKS = 8
 #: Texts of a key that one search takes.
 CROWD = 4096
+#: Distinct shingles of a text that it carries along.
+FEW = 80
 #: One word in so many ends a block.
 WORDS = 12
 WIDE = 4
@@ -85,8 +88,8 @@ def blocks(words: Words) -> list[np.ndarray]:
     return out
 
 
-def prefixes(h: np.ndarray, many: np.ndarray, similarity: float) -> tuple[list[np.ndarray], np.ndarray]:
-    """Each text's smallest distinct shingle hashes, of which similar texts share one, and its number of distinct shingles."""
+def prefixes(h: np.ndarray, many: np.ndarray, similarity: float) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Each text's smallest distinct shingle hashes, of which similar texts share one; all if they are few; and how many it has."""
     text = np.repeat(np.arange(len(many)), many)
     order = np.lexsort((h, text))
     h, text = h[order], text[order]
@@ -95,12 +98,18 @@ def prefixes(h: np.ndarray, many: np.ndarray, similarity: float) -> tuple[list[n
     h, text = h[new], text[new]
     m = np.bincount(text, minlength=len(many))
     most = np.where(m > 0, m - np.ceil(similarity * m - 1e-9).astype(np.int64) + 1, 0)
-    ends = np.cumsum(m)
-    return [h[i : i + k].view(np.int64) for i, k in zip((ends - m).tolist(), most.tolist())], m
+    begin = (np.cumsum(m) - m).tolist()
+    least, few = ([h[i : i + k].view(np.int64) for i, k in zip(begin, sizes.tolist())] for sizes in (most, np.where(m <= FEW, m, 0)))
+    return least, few, m
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
 
 
 def marked(df: DataFrame, doc_id: str, text: str, size: int, similarity: float) -> DataFrame:
-    """(id, h, fp, w, m, keys) of each row; h: a hash of the text, m: distinct shingles. Null counts as empty."""
+    """(id, h, fp, w, m, few, keys) of each row; h: a hash of the text, m: number of distinct shingles, few: these if they are few. Null counts as empty."""
     rows = df.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     kind = dict(rows.dtypes)["id"]
 
@@ -110,28 +119,46 @@ def marked(df: DataFrame, doc_id: str, text: str, size: int, similarity: float)
                 words = Words(raw, at)
                 h, many = shingle_hashes(words, size)
                 found = wide(h, many).view(np.int64)
-                least, m = prefixes(h, many, similarity)
+                least, few, m = prefixes(h, many, similarity)
                 lists = [np.concatenate(x) for x in zip(blocks(words), least)]
-                ends = pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
-                filed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
                 w = pa.ListArray.from_arrays(pa.array(np.arange(0, WIDE * len(many) + 1, WIDE, dtype=np.int32)), pa.array(found.ravel()))
                 fp = pa.array(simhash.of_words(words, size).view(np.int64))
-                columns = [batch.column(0).slice(part.start, len(many)), batch.column(2).slice(part.start, len(many)), fp, w, pa.array(m), filed]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "fp", "w", "m", "keys"])
+                columns = [batch.column(0).slice(part.start, len(many)), batch.column(2).slice(part.start, len(many)), fp, w, pa.array(m), _lists(few), _lists(lists)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "fp", "w", "m", "few", "keys"])
 
-    return rows.select("id", "t", F.xxhash64("t").alias("h")).mapInArrow(run, f"id {kind}, h bigint, fp bigint, w array<bigint>, m bigint, keys array<bigint>")
+    return rows.select("id", "t", F.xxhash64("t").alias("h")).mapInArrow(run, f"id {kind}, h bigint, fp bigint, w array<bigint>, m bigint, few array<bigint>, keys array<bigint>")
 
 
 class Texts:
-    """Rows (group, fp, w) in hand."""
+    """Rows (group, fp, w, few) in hand."""
 
     def __init__(self, rows: pa.Table, similarity: float) -> None:
         self.fp = rows["fp"].to_numpy()
         self.w = rows["w"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDE).view(np.uint64)
-        self.most = most_bits(similarity)
+        few = rows["few"].combine_chunks()
+        self.few, self.ends = few.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(few.value_lengths().to_numpy(zero_copy_only=False))])
+        self.n = np.diff(self.ends)
+        self.similarity, self.most = similarity, most_bits(similarity)
+        self.sets: dict[int, frozenset] = {}
+
+    def _set(self, k: int) -> frozenset:
+        if k not in self.sets:
+            self.sets[k] = frozenset(self.few[self.ends[k] : self.ends[k + 1]].tolist())
+        return self.sets[k]
 
     def similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(self.w[a] ^ self.w[b]).sum(axis=1, dtype=np.int64) <= self.most
+        """By the shingles where both texts carry them, else by the fingerprints."""
+        a, b = np.broadcast_arrays(a, b)
+        near = np.bitwise_count(self.w[a] ^ self.w[b]).sum(axis=1, dtype=np.int64) <= self.most
+        n, n2 = self.n[a], self.n[b]
+        both = (n > 0) & (n2 > 0)
+        alike = both & (np.minimum(n, n2) >= self.similarity * np.maximum(n, n2) - 1e-9)
+        near &= ~both
+        for k in np.flatnonzero(alike).tolist():
+            x, y = self._set(int(a[k])), self._set(int(b[k]))
+            same = len(x & y)
+            near[k] = same >= self.similarity * (len(x) + len(y) - same) - 1e-9
+        return near
 
     def spanning(self, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Links that join what is similar within runs of equal groups, each text reached once."""
@@ -185,22 +212,22 @@ def _searched(rows: DataFrame, names: list[str], similarity: float) -> DataFrame
 
 
 def links(work: Workspace, texts: DataFrame, similarity: float, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b) between fingerprints of different texts (h, fp, w, m, keys) that span what is similar under each key."""
+    """Links (a, b) between fingerprints of different texts (h, fp, w, m, few, keys) that span what is similar under each key."""
     filed = texts.select(F.explode(F.array_distinct("keys")).alias("key"), "h", "fp")
     sizes = work.keep(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     shared = filed.join(sizes, "key").select("key", "h", "fp", (F.col("n") > crowd).alias("crowded"))
-    shared = work.keep(shared.join(texts.select("h", "fp", "w", "m"), ["h", "fp"]))
-    found = _searched(shared.where("not crowded").select("key", "fp", "w"), ["key"], similarity)
+    shared = work.keep(shared.join(texts.select("h", "fp", "w", "m", "few"), ["h", "fp"]))
+    found = _searched(shared.where("not crowded").select("key", "fp", "w", "few"), ["key"], similarity)
     if sizes.where(F.col("n") > crowd).take(1):
         # texts whose numbers of shingles differ by no more than the similarity allows share a band
         band = F.floor(F.log("m") / F.lit(-math.log(similarity) + 1e-9))
-        banded = shared.where("crowded").select("key", F.explode(F.array(band, band + 1)).alias("band"), "h", "fp", "w")
+        banded = shared.where("crowded").select("key", F.explode(F.array(band, band + 1)).alias("band"), "h", "fp", "w", "few")
         parts = banded.groupBy("key", "band").agg(F.ceil(F.count("*") / F.lit(crowd)).alias("parts"))
         parts = work.keep(parts)
         tile = F.pmod(F.xxhash64("h", F.lit(1)), F.col("parts"))
         tiled = banded.join(parts, ["key", "band"]).withColumn("tile", tile)
         tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        tiled = tiled.select("key", "band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "fp", "w")
+        tiled = tiled.select("key", "band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "fp", "w", "few")
         found = found.union(_searched(tiled, ["key", "band", "i", "j"], similarity))
     return work.keep(found.distinct())
 

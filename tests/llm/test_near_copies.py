@@ -94,3 +94,24 @@ def test_crowds_are_searched_whole(spark):
     texts = docs.drop("id").dropDuplicates(["h", "fp"]).cache()
     whole, split = ({frozenset(r) for r in near_copies.components(spark, near_copies.links(Workspace(spark, "t"), texts, 0.8, c)).collect()} for c in (4096, 4))
     assert whole == split and len(whole) >= 40
+
+
+def short(many=200, seed=9):
+    """Texts of 10 to 50 words and copies with the last word changed, one word put before, or the last word dropped."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    rows = []
+    for k in range(many):
+        words = [word() for _ in range(rng.randrange(10, 51))]
+        near = (words[:-1] + [word()], [word(), *words], words[:-1])[k % 3]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(near))]
+    return rows
+
+
+def test_short_copies_go_by_jaccard(spark):
+    rows = short()
+    text = dict(rows)
+    kept = {r.doc_id for r in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = {i for i in text if i % 10 and jaccard(text[i], text[i - 1]) >= 0.8}
+    assert len(near) > 100 and {i for i in text if i % 10 == 0} <= kept
+    assert not near & kept
