@@ -29,6 +29,8 @@ def main_branch(found: DataFrame) -> DataFrame:
 def follow(targets: DataFrame, members: DataFrame, snapshots: list[int]) -> DataFrame:
     """(id, branch): from the last snapshot back, each particle's branch outside the main one; null while it stays on the main branch."""
     work = Workspace(targets.sparkSession, "branches")
+    # written once, as every snapshot reads it
+    members = work.keep(members.select("snapshot", "id", "halo_id"))
     left, out = targets.select("id"), None
     for snapshot in sorted(snapshots, reverse=True):
         found = work.keep(branch_ids(left, members.where(F.col("snapshot") == snapshot), snapshot))

@@ -516,7 +516,8 @@ def main_branch(spark, sf_dir):
 def branch_follow(spark, sf_dir):
     """Backward fold; the main branch depends on what is left, which SQL cannot express."""
     members = _members(spark, sf_dir)
-    return branches.follow(members.select("id").distinct(), members, list(range(25, 30)))
+    snapshots = [r.snapshot for r in members.select("snapshot").distinct().collect()]
+    return branches.follow(members.select("id").distinct(), members, snapshots)
 
 
 QUERIES["branch_follow"] = branch_follow

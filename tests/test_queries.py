@@ -35,3 +35,24 @@ def test_matches_sql(spark, duck, name):
 def test_branches_follow_back(spark):
     rows = QUERIES["branch_follow"](spark, DIR).collect()
     assert len({r.id for r in rows}) == len(rows)
+
+
+def test_branches_follow_back_through_every_snapshot(spark):
+    """The fold over plain dictionaries."""
+    from swarmtide.operators.branches import BRANCH
+    from swarmtide.queries import _members
+
+    held = {}
+    for r in _members(spark, DIR).collect():
+        held[r.snapshot, r.id] = min(r.halo_id, held.get((r.snapshot, r.id), r.halo_id))
+    left = {i for _, i in held}
+    want = dict.fromkeys(left)
+    for snapshot in sorted({s for s, _ in held}, reverse=True):
+        found = {i: held[snapshot, i] + snapshot * BRANCH for i in left if (snapshot, i) in held}
+        n = {b: list(found.values()).count(b) for b in set(found.values())}
+        main = min(n, key=lambda b: (-n[b], b), default=None)
+        gone = {i: b for i, b in found.items() if b != main}
+        want |= gone
+        left -= gone.keys()
+    assert {b // BRANCH for b in want.values() if b} - set(range(25, 30))
+    assert {r.id: r.branch for r in QUERIES["branch_follow"](spark, DIR).collect()} == want
