@@ -1,4 +1,8 @@
-"""Polynomial hashes of byte strings modulo 2**64, for all spans of a buffer at once."""
+"""Hashes of spans of a buffer, all at once.
+
+``strings`` suits spans of any length: a sum of mixed blocks of eight bytes, each mixed with its place. ``spans`` are polynomials modulo 2**64
+over prefix sums, for overlapping spans; they are only to be used below 512 bytes, from where on such polynomials collide by construction.
+"""
 
 from __future__ import annotations
 
@@ -35,3 +39,28 @@ def prefix(raw: np.ndarray, which: int) -> np.ndarray:
 
 def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int, size: int) -> np.ndarray:
     return mixed((sums[end] - sums[start]) * power(which, size)[1][start])
+
+
+def strings(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span; spans may not be empty."""
+    blocks = (end - start + 7) // 8
+    of = np.repeat(np.arange(len(start)), blocks)
+    first = np.cumsum(blocks) - blocks
+    nth = np.arange(len(of)) - first[of]
+    at = start[of] + 8 * nth
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)[at].view("<u8")[:, 0].copy() if len(of) else np.zeros(0, np.uint64)
+    over = np.maximum(at + 8 - end[of], 0).astype(np.uint64) * _U(8)
+    eight &= _U(0xFFFFFFFFFFFFFFFF) >> over
+    each = mixed(mixed(eight + _U(0x9E3779B97F4A7C15)) + (nth + 1).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    whole = np.add.reduceat(each, first) if len(of) else each
+    return mixed(whole + (end - start).astype(np.uint64) * _U(0xA0761D6478BD642F))
+
+
+def runs(h: np.ndarray, head: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
+    """Hash of each run of ``size`` (1 to ``most``) hashes that begins at ``head``."""
+    out = size.astype(np.uint64)
+    for k in range(most):
+        here = np.minimum(head + k, len(h) - 1)
+        out += np.where(k < size, mixed(h[here] + _U((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), _U(0)) if len(h) else _U(0)
+    return mixed(out)

@@ -1,8 +1,10 @@
 import random
+import re
 
 import numpy as np
 
 from swarmtide.llm import near_copies
+from swarmtide.llm.hashing import strings
 from swarmtide.llm.text import Words
 
 
@@ -47,20 +49,30 @@ def test_one_of_each_group_stays(spark):
     assert near_copies.keep_one(df.limit(0)).count() == 0
 
 
-def test_blocks_and_fingerprints_of_texts():
-    texts = [b"", b"one", b"one two three", b" ".join(b"w%d" % k for k in range(300))]
+def test_hashes_and_fingerprints_of_texts():
+    texts = [b"", b"one", b"one two three", b" ".join(b"w%d" % k for k in range(300)), b"x" * 5000 + b" end"]
     at = np.cumsum([0, *map(len, texts)])
     words = Words(np.frombuffer(b"".join(texts), np.uint8), at)
-    found = near_copies.blocks(words)
-    assert [len(x) for x in found[:2]] == [0, 1] and len(found[3]) == near_copies.BLOCKS
     for k, t in enumerate(texts):
         alone = Words(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
-        assert (near_copies.blocks(alone)[0] == found[k]).all()
         h, many = near_copies.shingle_hashes(alone, 5)
         whole, counts = near_copies.shingle_hashes(words, 5)
+        assert (h == np.split(whole, np.cumsum(counts)[:-1])[k]).all()
         assert (near_copies.wide(h, many)[0] == near_copies.wide(whole, counts)[k]).all()
 
 
+def test_words_that_polynomials_confuse():
+    a = b"a"
+    flip = bytes.maketrans(b"ab", b"ba")
+    while len(a) < 1024:
+        a += a.translate(flip)
+    raw = a + a.translate(flip)
+    x, y = strings(np.frombuffer(raw, np.uint8), np.array([0, 1024]), np.array([1024, 2048]))
+    assert x != y
+    same = strings(np.frombuffer(b"abcabcabd\0abd", np.uint8), np.array([0, 3, 6, 6, 10]), np.array([3, 6, 9, 10, 13]))
+    assert same[0] == same[1] and same[2] == same[4] and len(set(same.tolist())) == 3
+
+
 def families(many=80, seed=5):
     """Of each family an old version (the smallest id), a new one with a quarter of its words new, and a near copy of the new one."""
     rng = random.Random(seed)
@@ -85,15 +97,64 @@ def test_copies_meet_beside_an_older_version(spark):
     assert not [i for i in kept if i % 10 == 2]
 
 
-def test_crowds_are_searched_whole(spark):
-    from swarmtide.plans.workspace import Workspace
+def plain_kept(rows):
+    """What stays by shingle sets of five words and plain union of pairs at 0.8."""
+    sets = {}
+    for i, t in rows:
+        w = re.split("[\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)}).strip(" \t\n\v\f\r"))
+        w = w if w != [""] else []
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1)))}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    filed = {}
+    for i, s in sets.items():
+        for x in s or {()}:
+            filed.setdefault(x, []).append(i)
+    pairs = {(i, j) for group in filed.values() for j in group for i in group if i < j and 0.8 * max(len(sets[i]), len(sets[j])) <= min(len(sets[i]), len(sets[j]))}
+    linked = 0
+    for i, j in pairs:
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            linked += 1
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return {i for i in sets if find(i) == i}, linked
+
+
+def spread(seed=12):
+    """Copies of few texts at similarities all around 0.8, chained and starred, of many lengths."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    rows = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.choice((12, 40, 90, 300, 900)))]
+        for _ in range(rng.randrange(1, 7)):
+            near = list(base)
+            for _ in range(round(len(near) * rng.choice((0.005, 0.02, 0.03, 0.05, 0.1)))):
+                near[rng.randrange(len(near))] = word()
+            rows.append((len(rows), " ".join(near)))
+            base = rng.choice((base, near))
+    return rows
+
+
+def test_kept_are_those_of_plain_shingles(spark):
+    rows = spread()
+    want, linked = plain_kept(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert linked > 60 and len(want) < len(rows) - 30
+    assert {r.doc_id for r in near_copies.keep_one(df).collect()} == want
+    # crowded keys and large components are split without loss
+    assert {r.doc_id for r in near_copies.keep_one(df, crowd=3, together=3000).collect()} == want
+
 
-    passage = " ".join(f"common{k}" for k in range(60))
-    rows = [(i, passage + " " + t) for i, t in families(20)] + [(9000 + k, passage + f" {k}" * (k % 7)) for k in range(20)]
-    docs = near_copies.marked(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5, 0.8)
-    texts = docs.drop("id").dropDuplicates(["h", "fp"]).cache()
-    whole, split = ({frozenset(r) for r in near_copies.components(spark, near_copies.links(Workspace(spark, "t"), texts, 0.8, c)).collect()} for c in (4096, 4))
-    assert whole == split and len(whole) >= 40
+def test_documents_keep_what_plain_shingles_keep(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want, linked = plain_kept([tuple(r) for r in docs.collect()])
+    assert linked and {r.doc_id for r in near_copies.keep_one(docs).collect()} == want
 
 
 def short(many=200, seed=9):

@@ -2,15 +2,13 @@
 
 import hashlib
 
-import numpy as np
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from swarmtide.llm import bpe, decontamination, near_copies, toxicity
+from swarmtide.llm import bpe, decontamination, toxicity
 from swarmtide.llm.queries import PATTERN, RANKS
-from swarmtide.llm.text import Words
-from tests.llm.test_simhash import brute_fingerprint, brute_roots
+from tests.llm.test_near_copies import plain_kept
 
 DIR = "/root/testdata/sf0.001"
 
@@ -30,37 +28,13 @@ def cut(rows, length=100):
     return out
 
 
-def near_roots(rows, fps):
-    """Components of fingerprints: three bits of 64, or the smallest text of a shared block within the bits of 256."""
-    first = {}
-    for k, f in sorted(fps.items()):
-        first.setdefault(f, k)
-    filed, wide = {}, {}
-    for f, k in first.items():
-        raw = rows[k].encode()
-        words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        wide[f] = int.from_bytes(near_copies.wide(*near_copies.shingle_hashes(words, 5)).tobytes(), "little")
-        for b in near_copies.blocks(words)[0].tolist():
-            filed.setdefault(b, []).append((k, f))
-    linked = set()
-    for group in filed.values():
-        least = min(group)[1]
-        linked |= {(f, least) for _, f in group if bin(wide[f] ^ wide[least]).count("1") <= near_copies.most_bits(0.8)}
-    return brute_roots(sorted(first), lambda a, b: bin(a ^ b).count("1") <= 3 or (a, b) in linked or (b, a) in linked)
-
-
 def test_pipeline_matches_plain_stages(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     labels = spark.read.parquet(f"{DIR}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     model = toxicity.fit(docs, labels)
     rows = {r.doc_id: r.text or "" for r in docs.collect()}
     rows = {k: t for k, t in rows.items() if model.probability(model.evidence(toxicity.tokens(t))) < 0.3}
-    fps = {k: brute_fingerprint(t, 5) for k, t in rows.items()}
-    roots = near_roots(rows, fps)
-    least = {}
-    for k, f in fps.items():
-        least[roots[f]] = min(least.get(roots[f], k), k)
-    rows = {k: rows[k] for k in least.values()}
+    rows = {k: rows[k] for k in plain_kept(sorted(rows.items()))[0]}
     left = cut(rows)
     rows = {k: t for k, t in left.items() if t or not rows[k]}
     items = [set(decontamination.shingles(decontamination.words(r.text))) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
