@@ -2,9 +2,9 @@
 
 Texts are split by the vocabulary's pattern; each match is encoded on its own, once per
 worker and not once per place (words repeat), by a ``tokenizers`` BPE model over
-the byte-to-character alphabet. Pairs are listed from the ranks: of each entry every split
-into two entries, so merges are those that a rank table allows.
-An exact check by rank follows on each distinct piece.
+the byte-to-character alphabet. The ranks give the merges: an entry comes from the one pair of entries that is left of it
+when all lower ranks have been merged, and a match that is an entry is that entry. The library's offsets
+tell which ids belong to which match, and in which character a token begins.
 
 Decoding turns ids into characters, characters back into bytes by the reversed table, and
 only then joins bytes to text, so characters whose bytes lie in several tokens come
@@ -23,12 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from swarmtide.llm.text import extended, nested, slices
+from swarmtide.llm.text import extended, mapped, nested, slices
 
 #: Encoded pieces that a worker remembers before it starts over.
 REMEMBERED = 600_000
 #: Two white-space characters in a row.
 DOUBLE = re.compile(r"\s\s")
+#: Below it, letters are what both Python and the pattern call letters.
+LATIN = "\u0250"
+MARKS = frozenset(".,;:!?)")
 
 
 def byte_alphabet() -> list[str]:
@@ -43,6 +46,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def merges(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
+    """The pair that makes each entry of several bytes, by rising rank. Entries that no pair makes are left out."""
+    out = []
+    for token in sorted(ranks, key=ranks.__getitem__):
+        most = ranks[token]
+        lower = lambda x: ranks.get(x, most) < most
+        found = [(token[:i], token[i:]) for i in range(1, len(token)) if lower(token[:i]) and lower(token[i:])]
+        if len(found) > 1:  # what is left after all lower merges, the lowest first
+            parts = [token[i : i + 1] for i in range(len(token))]
+            while len(parts) > 2:
+                rank, i = min((ranks.get(a + b, most), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+                if rank >= most:
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            found = [tuple(parts)] if len(parts) == 2 else []
+        out += found
+    return out
+
+
 #: Stands between pieces until they are spelled; no byte decodes to it.
 SEPARATOR = "\u2028"
 
@@ -54,7 +76,6 @@ class Codec:
 
     def __init__(self, path: str, pattern: str) -> None:
         import regex
-        import tiktoken
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         ranks = read_ranks(path)
@@ -64,21 +85,14 @@ class Codec:
         byte_of = {c: b for b, c in enumerate(alphabet)}
         self.split = regex.compile(pattern).findall
         vocab = {spell(token): rank for token, rank in ranks.items()}
-        merges = [
-            (spell(token[:i]), spell(token[i:]))
-            for token in sorted(ranks, key=ranks.__getitem__)
-            for i in range(1, len(token))
-            if token[:i] in ranks and token[i:] in ranks
-        ]
-        self.model = Tokenizer(models.BPE(vocab=vocab, merges=merges, cache_capacity=0))
+        pairs = [(spell(a), spell(b)) for a, b in merges(ranks)]
+        self.model = Tokenizer(models.BPE(vocab=vocab, merges=pairs, cache_capacity=0, ignore_merges=True))
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # no byte's character is white space
-        self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.bytes_of = {rank: bytes(map(byte_of.__getitem__, spelled)) for spelled, rank in vocab.items()}
         self.kind = np.uint16 if max(ranks.values()) < 1 << 16 else np.uint32
-        self.length = np.zeros(max(ranks.values()) + 1, np.int64)
-        self.length[list(ranks.values())] = [len(x) for x in ranks]
         self.digits = {rank: str(rank) for rank in ranks.values()}
         self.memory: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
@@ -87,58 +101,72 @@ class Codec:
             cls._made[path, pattern] = cls(path, pattern)
         return cls._made[path, pattern]
 
+    def _spelled(self, found: list[str]) -> tuple[list[int], np.ndarray, list[int]]:
+        """Ids of pieces, which all go to the library as one line; where each token begins, and each piece, in characters of the line."""
+        spelled = [x.encode().decode("latin-1") for x in found]
+        coded = self.model.encode(SEPARATOR.join(spelled).translate(self.spelling), add_special_tokens=False)
+        begins = np.cumsum([0, *(len(x) + 1 for x in spelled)])
+        return coded.ids, np.fromiter((i for i, _ in coded.offsets), np.int64, len(coded.ids)), begins
+
     def _encode_pieces(self, found: list[str]) -> dict[str, bytes]:
-        """Ids of each piece. All go to the library as one line of spelled pieces."""
-        spelled = [x.encode() for x in found]
-        line = SEPARATOR.join(x.decode("latin-1") for x in spelled).translate(self.spelling)
-        ids = np.array(self.model.encode(line, add_special_tokens=False).ids, self.kind)
-        exact = np.fromiter(chain.from_iterable(map(self.merge, spelled)), self.kind)
-        if not np.array_equal(ids, exact):  # of pairs with one rank the library takes the pair listed first, ranks the leftmost
-            ids = exact
-        cuts = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(x) for x in spelled])) + 1
-        raw, ends = ids.tobytes(), (cuts * ids.itemsize).tolist()
-        return {x: raw[i:j] for x, i, j in zip(found, [0, *ends], ends)}
-
-    def learn(self, chunks: set[str]) -> None:
-        """Remembers the ids of chunks that are not known yet."""
-        new = [x for x in chunks if x not in self.memory]
-        if len(self.memory) + len(new) > REMEMBERED:
-            self.memory.clear()
+        """Ids of each piece."""
+        ids, at, begins = self._spelled(found)
+        raw = np.array(ids, self.kind)
+        cuts = (np.searchsorted(at, begins) * raw.itemsize).tolist()
+        raw = raw.tobytes()
+        return {x: raw[i:j] for x, i, j in zip(found, cuts, cuts[1:])}
+
+    def _parts(self, chunk: str) -> list[str]:
+        """Matches of the pattern in a chunk."""
+        if chunk[0] == " " and max(chunk) < LATIN:  # one word, or a word and one mark
+            if chunk[1:].isalpha():
+                return [chunk]
+            if chunk[-1] in MARKS and chunk[1:-1].isalpha():
+                return [chunk[:-1], chunk[-1]]
+        return self.split(chunk)
+
+    def learn(self, memory: dict[str, bytes], chunks: set[str], before: str) -> None:
+        """Remembers the ids of chunks that are not known yet; ``before`` stands before each of them."""
+        new = [x for x in chunks if x not in memory]
+        if len(memory) + len(new) > REMEMBERED:
+            memory.clear()
             new = list(chunks)
         for i in range(0, len(new), 10_000):
-            plain = lambda x: x[0] == " " and x.isascii() and x[1:].isalpha()  # noqa: E731  one match
-            parts = {x: [x] if plain(x) else self.split(x) for x in new[i : i + 10_000]}
-            known = self._encode_pieces(list({y for found in parts.values() for y in found}))
+            parts = {x: self._parts(before + x) for x in new[i : i + 10_000]}
+            known = self._encode_pieces(list(set(chain.from_iterable(parts.values()))))
             for x, found in parts.items():
-                self.memory[x] = b"".join(map(known.__getitem__, found)) if len(found) != 1 else known[found[0]]
+                memory[x] = b"".join(map(known.__getitem__, found)) if len(found) != 1 else known[found[0]]
 
-    def chunks(self, text: str) -> list[str]:
-        """Runs of whole matches of the pattern.
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text.
 
         No match crosses a space that follows no white space and precedes none, so texts without
         double white space are cut there; others are cut into their matches.
         """
-        if DOUBLE.search(text):
-            return self.split(text)
-        head, *tail = text.split(" ")
-        return ([head] if head else []) + [" " + x for x in tail]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        found = [self.chunks(x) for x in texts]
-        self.learn(set(chain.from_iterable(found)))
-        return [np.frombuffer(b"".join(map(self.memory.__getitem__, x)), self.kind) for x in found]
+        rows: list[tuple[list[str], list[str]]] = []  # chunks; chunks without the space before them
+        for text in texts:
+            if DOUBLE.search(text):
+                rows.append((self.split(text), []))
+            else:
+                head, *tail = text.split(" ")
+                rows.append(([head] if head else [], tail))
+        self.learn(self.memory, set(chain.from_iterable(x for x, _ in rows)), "")
+        self.learn(self.spaced, set(chain.from_iterable(x for _, x in rows)), " ")
+        of, of_spaced = self.memory.__getitem__, self.spaced.__getitem__
+        return [np.frombuffer(b"".join(chain(map(of, x), map(of_spaced, y))), self.kind) for x, y in rows]
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of the ids, joined before anything reads them as characters."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def char_offsets(self, text: str, ids: list[int]) -> list[int]:
-        """The character of ``text`` in which each token begins."""
+    def char_offsets(self, text: str) -> list[int]:
+        """The character of ``text`` in which each of its tokens begins."""
+        _, at, begins = self._spelled(self.split(text))
+        if not len(at):
+            return []
         raw = np.frombuffer(text.encode(), np.uint8)
         char = np.cumsum((raw & 0xC0) != 0x80) - 1
-        begins = np.cumsum([0, *(len(self.bytes_of[i]) for i in ids)])[:-1]
-        return char[begins].tolist()
+        return char[at - np.searchsorted(begins, at, side="right") + 1].tolist()
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", offsets: bool = False) -> DataFrame:
@@ -159,10 +187,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", offsets:
                 ids = codec.encode(texts)
                 columns = [nested([x.astype(np.int32) for x in ids])]
                 if offsets:
-                    columns.append(nested([np.array(codec.char_offsets(t, x.tolist()), np.int32) for t, x in zip(texts, ids)]))
+                    columns.append(nested([np.array(codec.char_offsets(t), np.int32) for t in texts]))
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*kept, *new])
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return mapped(df, kept, run, schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -175,7 +203,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
             out = [codec.decode(x or []) for x in batch.column(kept.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*kept, "decoded"])
 
-    return df.select(*kept).mapInArrow(run, extended(df, kept, "decoded binary"))
+    return mapped(df, kept, run, extended(df, kept, "decoded binary"))
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -205,4 +233,4 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return mapped(df, kept, run, schema)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from swarmtide.llm.text import extended, slices
+from swarmtide.llm.text import extended, mapped, slices
 
 TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*'|["'<])*?)>|<[!?/][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.S)
@@ -304,4 +304,4 @@ def extract(df: DataFrame, html_column: str = "html", into: str = "text") -> Dat
                 out = pa.array([render(x) for x in part.column(at).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*kept, into])
 
-    return df.select(*(f"`{c}`" for c in kept)).mapInArrow(run, extended(df, kept, f"`{into}` string"))
+    return mapped(df, kept, run, extended(df, kept, f"`{into}` string"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swarmtide.llm.text import Words, extended, pieces
+from swarmtide.llm.text import Words, extended, mapped, pieces
 from swarmtide.plans.components import components
 from swarmtide.plans.workspace import Workspace
 
@@ -66,7 +66,7 @@ def fingerprints(df: DataFrame, text: str = "text", size: int = 3) -> DataFrame:
                 found = of_words(Words(raw, ends), size).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], names=[*kept, "fingerprint"])
 
-    return df.select(*(f"`{c}`" for c in kept)).mapInArrow(run, extended(df, kept, "fingerprint bigint"))
+    return mapped(df, kept, run, extended(df, kept, "fingerprint bigint"))
 
 
 def _mask(blocks: list[tuple[int, int]]) -> int:

@@ -6,12 +6,13 @@ its own), so working memory follows the longest text and not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that are worked on at a time.
 PIECE = 1 << 20
@@ -93,3 +94,15 @@ def nested(rows: list[np.ndarray]) -> pa.Array:
 def extended(df: DataFrame, kept: list[str], ddl: str) -> StructType:
     """Schema of the kept columns and then the new ones."""
     return StructType(df.select(*(f"`{c}`" for c in kept)).schema.fields + StructType.fromDDL(ddl).fields)
+
+
+def mapped(df: DataFrame, kept: list[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """``run`` over batches of the kept columns; what it yields has the columns of ``schema`` in order. Names may hold dots."""
+    plain = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=plain.names)
+
+    inner = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)))
+    return inner.mapInArrow(renamed, plain).toDF(*schema.names)

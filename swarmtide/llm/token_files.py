@@ -36,7 +36,7 @@ def write(df: DataFrame, path: str, ranks: str, pattern: str, text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks, pattern)
-        if len(codec.length) > END:
+        if max(codec.bytes_of) >= END:
             raise ValueError("the vocabulary has no room for the end-of-document id")
         for batch in batches:
             for rows, _, _ in pieces(batch.column(0)):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swarmtide.llm.text import extended, slices
+from swarmtide.llm.text import extended, mapped, slices
 from swarmtide.plans.workspace import Workspace
 
 SHARE = 0.002
@@ -236,4 +236,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*kept, *new])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return mapped(docs, kept, run, schema)
