@@ -6,27 +6,43 @@ decides what is visible. A layout takes its events: it collapses white space, ke
 between blocks, marks and indents list items, keeps ``pre`` as it is, and lays out each table
 on its own when it closes, with columns as wide as their widest cell.
 
-Path and layout are explicit stacks: depth of nesting costs memory only, and each page is read once.
+Path and layout are explicit stacks, and open elements are found by tag: depth of nesting costs memory only, and each
+page is read once, whatever it holds. A tag or comment that never closes reaches to the end, as in browsers. Output stays in proportion: indents end at
+``INDENT`` columns, tables at ``NESTED`` levels (deeper ones are blocks), and cells of tables that are wider than ``WIDEST`` or beyond
+``COLUMNS`` columns stand side by side without alignment. No text is left out by this.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from swarmtide.llm.text import extended, mapped, slices
 
-TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*'|["'<])*?)>|<[!?/][^>]*(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.S)
+#: Comments, tags (name, then attributes; only a value's quotes hide a ">") and declarations. Every part is possessive.
+TOKEN = re.compile(
+    r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S
+)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+("[^"]*+"?|'[^']*+'?|[^\s>]*+))?+""", re.S)
+SPAN = re.compile(r"\s*[0-9]{1,9}\s*")
+#: Numbers that no character has.
+HUGE = re.compile(r"&#[xX]?[0-9a-fA-F]{1000,}+;?")
 HIDDEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 UNSEEN = frozenset("head script style title template iframe noembed noframes datalist object audio video canvas svg math".split())
+INDENT = 80
+NESTED = 16
+COLUMNS = 100
+WIDEST = 1000
+IN_TABLES = frozenset("table caption colgroup col tbody thead tfoot tr td th".split())
 #: Blank lines around a block.
 BLOCK = dict.fromkeys("address article aside body center dd details dialog div dt fieldset figcaption footer form header hgroup html legend main nav option optgroup search section select summary tbody thead tfoot tr".split(), 0)
 BLOCK |= dict.fromkeys("blockquote dl figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul xmp".split(), 1)
@@ -95,30 +111,48 @@ class Sheet:
 
 class Table:
     def __init__(self) -> None:
-        self.rows: list[list[tuple[int, Sheet]]] = []
+        self.rows: list[list[tuple[int, int, Sheet]]] = []  # columns and rows that a cell takes
         self.caption: Sheet | None = None
 
+    def placed(self) -> list[list[tuple[int, int, list[str]]]]:
+        """(column, columns, lines) of each row's cells; cells that reach down from rows above keep their columns."""
+        free: dict[int, int] = {}  # the row from which on a column is free
+        out = []
+        for r, row in enumerate(self.rows):
+            k, cells = 0, []
+            for span, down, cell in row:
+                while k < COLUMNS and free.get(k, 0) > r:
+                    k += 1
+                cells.append((k, span, cell.lines))
+                if down > 1:
+                    free |= dict.fromkeys(range(k, min(k + span, COLUMNS)), r + down)
+                k += span
+            out.append(cells)
+        return out
+
     def lines(self) -> list[str]:
         """Cells side by side, two blanks between columns; a cell over several columns doesn't widen them."""
-        laid = [[(span, cell.lines) for span, cell in row] for row in self.rows]
-        widths: dict[int, int] = {}
-        for row in laid:
-            k = 0
-            for span, lines in row:
-                if span == 1:
-                    widths[k] = max([widths.get(k, 0), *map(len, lines)])
-                k += span
+        rows = self.placed()
+        widths = [-2] * COLUMNS  # of columns that no cell has to itself
+        for row in rows:
+            for k, span, lines in row:
+                if span == 1 and k < COLUMNS:
+                    widths[k] = max([widths[k], 0, *map(len, lines)])
+        begins = [0, *accumulate(w + 2 for w in widths)]
+        aligned = begins[-1] <= WIDEST
         out = list(self.caption.lines) if self.caption else []
-        for row in laid:
-            for depth in range(max([0, *(len(lines) for _, lines in row)])):
-                s, k, at = "", 0, 0
-                for span, lines in row:
-                    if depth < len(lines) and lines[depth]:
-                        s += " " * max(at - len(s), 2 if s else 0) + lines[depth]
-                    for _ in range(min(span, 1000)):
-                        at += widths.get(k, 0) + 2
-                        k += 1
-                out.append(s.rstrip())
+        for cells in rows:
+            depth = 0
+            while cells := [c for c in cells if len(c[2]) > depth]:
+                parts, size = [], 0
+                for k, _, lines in cells:
+                    if lines[depth]:
+                        at = begins[min(k, COLUMNS)] if aligned else 0
+                        gap = max(at - size, 2 if size else 0)
+                        parts += [" " * gap, lines[depth]]
+                        size += gap + len(lines[depth])
+                out.append("".join(parts).rstrip())
+                depth += 1
         return out
 
 
@@ -127,7 +161,7 @@ class Page:
 
     def __init__(self) -> None:
         self.path: list[tuple[str, bool, tuple | None]] = []
-        self.count: dict[str, int] = {}
+        self.places: dict[str, list[int]] = {}  # of open elements on the path
         self.sheet = Sheet()
         self.sheets: list[Sheet] = []
         self.tables: list[Table] = []
@@ -151,7 +185,7 @@ class Page:
             else:
                 self.open(tag, m[3])
                 if tag in RAW:
-                    end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
+                    end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(source, at)
                     inner, at = (source[at : end.start()], end.end()) if end else (source[at:], n)
                     if tag in ("textarea", "xmp"):
                         self.text(inner)
@@ -164,12 +198,12 @@ class Page:
     def text(self, raw: str) -> None:
         if self.path and self.path[-1][1]:
             return
-        s = html.unescape(raw) if "&" in raw else raw
+        s = html.unescape(HUGE.sub("\ufffd", raw)) if "&" in raw else raw
         if self.tables and self.path[-1][0] in ("table", "tbody", "thead", "tfoot", "tr", "colgroup") and s.strip():
             # text that strays among rows stands before the table
             self.sheets[-1].text(s)
         elif not self.tables or self.path[-1][0] not in ("table", "tbody", "thead", "tfoot", "tr", "colgroup"):
-            if self.count.get("pre") or self.count.get("xmp"):
+            if self.places.get("pre") or self.places.get("xmp"):
                 for i, piece in enumerate(s.replace("\r\n", "\n").split("\n")):
                     if i:
                         self.sheet._put("".join(self.sheet.line))
@@ -179,29 +213,39 @@ class Page:
             else:
                 self.sheet.text(s)
 
+    def last(self, tags) -> int:
+        """Place of the innermost open element of these tags, or -1."""
+        return max((at[-1] for at in map(self.places.get, tags) if at), default=-1)
+
+    def leave(self, size: int) -> None:
+        while len(self.path) > size:
+            self.pop()
+
     def open(self, tag: str, rest: str) -> None:
+        if tag in IN_TABLES and len(self.tables) >= NESTED:
+            tag = "div"
         if tag in IMPLIED_END:
             ends, walls = IMPLIED_END[tag]
-            for k in range(len(self.path) - 1, -1, -1):
-                if self.path[k][0] in walls:
-                    break
-                if self.path[k][0] in ends:
-                    while len(self.path) > k:
-                        self.pop()
-        if tag in BLOCK and self.count.get("p"):
+            wall = self.last(walls)
+            open_ = [at[k] for at in (self.places.get(x, ()) for x in ends) if (k := bisect_right(at, wall)) < len(at)]
+            if open_:
+                self.leave(min(open_))
+        if tag in BLOCK and self.places.get("p"):
             self.close("p")
         if tag in ("td", "th") and self.tables and (not self.path or self.path[-1][0] != "tr"):
             self.open("tr", "")
         if tag in ("td", "th", "tr", "caption", "tbody", "thead", "tfoot", "col", "colgroup") and not self.tables:
             return
         hidden = bool(self.path and self.path[-1][1]) or tag in UNSEEN
-        span = 1
+        span = down = 1
         if not hidden and rest and not rest.isspace():
             named = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(rest)}
             hidden = "hidden" in named or bool(HIDDEN_STYLE.search(named.get("style", "")))
             hidden |= tag == "dialog" and "open" not in named
-            if named.get("colspan", "").strip().isdigit():
-                span = min(max(1, int(named["colspan"].strip())), 1000)
+            if SPAN.fullmatch(named.get("colspan", "")):
+                span = min(max(1, int(named["colspan"])), 1000)
+            if SPAN.fullmatch(named.get("rowspan", "")):
+                down = int(named["rowspan"]) or 65534  # 0: all rows that follow
         elif tag == "dialog":
             hidden = True
         if not hidden:
@@ -220,22 +264,25 @@ class Page:
         undo = None
         if not hidden:
             if tag in BLOCK or tag in ("li", "caption"):
-                nested = tag in LISTS and self.count.get("li")
+                nested = tag in LISTS and self.places.get("li")
                 self.sheet.block(0 if nested else BLOCK.get(tag, 0))
             if tag in LISTS:
                 start = re.search(r"start\s*=\s*[\"']?\s*(-?\d{1,9})", rest) if tag == "ol" else None
                 self.numbers.append(int(start[1]) if start else 1)
             elif tag == "li":
-                ordered = next((x[0] for x in reversed(self.path) if x[0] in LISTS), "ul") == "ol"
+                at = self.last(LISTS)
+                ordered = at >= 0 and self.path[at][0] == "ol"
                 mark = f"{self.numbers[-1]}. " if ordered and self.numbers else "- "
                 if self.numbers:
                     self.numbers[-1] += 1
                 undo = (self.sheet, self.sheet.indent)
-                self.sheet.indent += " " * len(mark)
+                if len(self.sheet.indent) < INDENT:
+                    self.sheet.indent += " " * len(mark)
                 self.sheet.mark = mark
             elif tag in ("dd", "blockquote"):
                 undo = (self.sheet, self.sheet.indent)
-                self.sheet.indent += "  "
+                if len(self.sheet.indent) < INDENT:
+                    self.sheet.indent += "  "
             elif tag == "table":
                 self.tables.append(Table())
                 self.sheets.append(self.sheet)
@@ -244,15 +291,15 @@ class Page:
                 self.tables[-1].rows.append([])
             elif tag in ("td", "th"):
                 self.sheet = Sheet()
-                self.tables[-1].rows[-1].append((span, self.sheet))
+                self.tables[-1].rows[-1].append((span, down, self.sheet))
             elif tag == "caption":
                 self.sheet = self.tables[-1].caption = Sheet()
+        self.places.setdefault(tag, []).append(len(self.path))
         self.path.append((tag, hidden, undo))
-        self.count[tag] = self.count.get(tag, 0) + 1
 
     def pop(self) -> None:
         tag, hidden, undo = self.path.pop()
-        self.count[tag] -= 1
+        self.places[tag].pop()
         if hidden:
             return
         if undo:
@@ -269,23 +316,19 @@ class Page:
             self.sheet.whole(table.lines())
             self.sheet.block(1)
         elif tag in BLOCK or tag == "li":
-            nested = tag in LISTS and self.count.get("li")
+            nested = tag in LISTS and self.places.get("li")
             self.sheet.block(0 if nested else BLOCK.get(tag, 0))
 
     def close(self, tag: str) -> None:
-        if not self.count.get(tag):
+        if not self.places.get(tag):
             if tag == "p":
                 self.sheet.block(1)
             elif tag == "br":
                 self.open("br", "")
             return
-        for k in range(len(self.path) - 1, -1, -1):
-            if self.path[k][0] == tag:
-                while len(self.path) > k:
-                    self.pop()
-                return
-            if self.path[k][0] in WALLS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
-                return
+        at = self.places[tag][-1]
+        if self.last(WALLS) <= at or tag in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
+            self.leave(at)
 
 
 def render(source: str | None) -> str:

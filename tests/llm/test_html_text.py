@@ -1,6 +1,11 @@
+import random
+import time
+from collections import Counter
+from html.parser import HTMLParser
+
 import pytest
 
-from swarmtide.llm.html_text import extract, render
+from swarmtide.llm.html_text import UNSEEN, VOID, extract, render
 
 CASES = [
     (None, ""),
@@ -45,3 +50,127 @@ def test_frame(spark):
     got = extract(df.withColumn("text", df.html)).collect()
     assert sorted((r.page_id or 0, r.text) for r in got) == [(0, ""), (1, "a"), (1, "a"), (2, "")]
     assert extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<a" * 500_000,
+        "<a " + "\"'" * 500_000,
+        "<a x=\"" * 150_000,
+        "<p a='1' b=" * 100_000,
+        "<!--" * 250_000,
+        "</script " * 120_000 + "<script>" + "</script " * 50_000,
+        "<ul>" + "<b>" * 60_000 + "<li>x" * 60_000,
+        "<p><table><td>" + "<b>" * 60_000 + "</p>" * 60_000,
+        "<ul><li>" * 60_000 + "x",
+        "<table><td>" * 60_000 + "x",
+        "<table>" + "<td rowspan=65534 colspan=1000>x" * 20_000 + "<tr><td>y" * 20_000,
+        "<table><tr>" + "<td>x" * 30_000 + "<td>" + "y<br>" * 30_000,
+        "&#" + "9" * 500_000 + ";&#x" + "f" * 100_000,
+        "&" * 500_000,
+    ],
+    ids=range(14),
+)
+def test_hostile_pages_take_linear_time(source):
+    began = time.process_time()
+    render(source)
+    assert time.process_time() - began < 5
+
+
+ROWSPAN = [
+    ("<table><tr><td rowspan=2>tall<td>a<tr><td>b</table>", "tall  a\n      b"),
+    ("<table><tr><td>a<td rowspan=3>r<td>x<tr><td>b<td>y<tr><td>c<td>z</table>", "a  r  x\nb     y\nc     z"),
+    ("<table><tr><td rowspan=0>all<td>1<tr><td>2<tr><td>3</table>", "all  1\n     2\n     3"),
+    ("<a href=x", ""),
+    ("b <i title=\"never closed>c</i>", "b"),
+    ("<!-->a<!--->b", "ab"),
+    ("&#0000065;&#" + "9" * 5000 + ";", "A�"),
+]
+
+
+@pytest.mark.parametrize(("source", "want"), ROWSPAN)
+def test_rowspan_and_broken_tags(source, want):
+    assert render(source) == want
+
+
+def grid(rows):
+    """Plain layout: a matrix of slots filled cell by cell, as wide as the widest cell of one column."""
+    taken, cells, width = set(), [], {}
+    for r, row in enumerate(rows):
+        k = 0
+        for span, down, text in row:
+            while (r, k) in taken:
+                k += 1
+            taken |= {(r + i, k + j) for i in range(down) for j in range(span)}
+            cells.append((r, k, text))
+            if span == 1:
+                width[k] = max(width.get(k, 0), len(text))
+            k += span
+    out = []
+    for r in range(len(rows)):
+        line = ""
+        for _, k, text in [c for c in cells if c[0] == r and c[2]]:
+            at = sum(w + 2 for c, w in width.items() if c < k)
+            line += " " * max(at - len(line), 2 if line else 0) + text
+        out.append(line.rstrip())
+    return out
+
+
+def test_tables_match_a_plain_grid():
+    rng = random.Random(4)
+    for _ in range(300):
+        rows = [[(rng.choice((1, 1, 1, 2, 3)), rng.choice((1, 1, 1, 2, 3)), "x" * rng.randrange(0, 6)) for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(1, 6))]
+        source = "<table>" + "".join("<tr>" + "".join(f"<td colspan={s} rowspan={d}>{t}</td>" for s, d, t in row) + "</tr>" for row in rows) + "</table>"
+        want = [line for row, line in zip(rows, grid(rows)) if any(t for _, _, t in row)]
+        assert render(source).split("\n") == "\n".join(want).strip("\n").split("\n")
+
+
+class Plain(HTMLParser):
+    """Words outside of hidden elements, by another parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        named = dict(attrs)
+        style = (named.get("style") or "").replace(" ", "").lower()
+        unseen = tag in UNSEEN or "hidden" in named or "display:none" in style or "visibility:hidden" in style
+        if tag not in VOID and (self.hidden or unseen):
+            self.hidden.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.hidden:
+            while self.hidden.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.words += data.split()
+
+
+def test_query_shows_the_words_of_another_parser(spark):
+    from swarmtide.llm.queries import QUERIES
+
+    found = {r.page_id: r.text for r in QUERIES["op9_html_text"](spark, "/root/testdata/sf0.01").collect()}
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    assert len(found) == len(pages)
+    same = 0
+    for r in pages:
+        plain = Plain()
+        plain.feed(r.html or "")
+        plain.close()
+        letters = lambda words: Counter(c for c in "".join(words) if c.isalnum())
+        extra = letters(found[r.page_id].split()) - letters(plain.words)
+        assert not letters(plain.words) - letters(found[r.page_id].split()), r.html
+        same += all(c.isdigit() for c in extra)  # numbers of list items
+    assert same == len(pages)
+
+
+def test_soup_never_fails():
+    rng = random.Random(8)
+    tags = "table tr td th caption tbody ul ol li p div b pre select option dl dt dd details dialog script a br hr xmp body head".split()
+    for _ in range(3000):
+        parts = [rng.choice(("<{}>", "</{}>", "<{} hidden>", "<{} colspan=2 rowspan=3>", "x", "\n", "&amp;")).format(rng.choice(tags)) for _ in range(rng.randrange(1, 40))]
+        render("".join(parts))
