@@ -2,18 +2,19 @@
 
 *Weights.* Of a bounded sample of labelled documents, toxic and clean ones that hold a token are counted. A
 token's weight is its log-odds ratio under a Dirichlet prior in proportion to its share of all
-labelled documents, less ``DOUBT`` standard errors, and where positive less the drift. Tokens in less than ``SHARE`` of
-the toxic documents have no weight: so the table is bounded by (mean distinct tokens of a toxic
-document) / ``SHARE``, whatever the corpus size.
+labelled documents, taken ``DOUBT`` standard errors towards zero; tokens of clean documents weigh below zero. Tokens without a
+weight cost ``DRIFT`` each, which other weights hold already; a token that repeats the one before it has no weight above zero. Tokens of fewer than ``LEAST`` sampled documents have none: the
+table is bounded by the sample, whatever the corpus size.
 
 *Segments.* Each token adds its weight, each other token costs the drift. All maximal segments are found in
 time linear in the tokens: a stack of candidate segments with the sums before and after them, merged while a later one
-tops an earlier one.
+tops an earlier one; each links to the nearest one before it that began lower, and where there is none all so far are final.
 
-*Calibration.* For independent tokens drawn as in clean documents, the best of n tokens exceeds S with
-probability 1 - exp(-K n exp(-lambda S)), where lambda solves E[exp(lambda s)] = 1. A passage is
-significant at 5 % of that. A logistic curve over the sum of the significant passages' excess, in
-bins counted over the same rows, gives the score.
+*Calibration.* The best segment of n clean tokens exceeds S with probability 1 - exp(-K n exp(-lambda S)). Lambda and K are those
+under which the best segments of the sampled clean documents are likeliest (documents without a segment count as below
+zero), each document scored by weights of the sample without its own part of ``PARTS``. A passage is
+significant at ``LEVEL`` of that. A logistic curve over the sum of the significant passages' excess, with the same
+weights over all sampled documents, gives the score.
 
 Labels, language, source and id are never inputs of a score.
 """
@@ -23,21 +24,26 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swarmtide.llm.text import extended, mapped, slices
 from swarmtide.plans.workspace import Workspace
 
-SHARE = 0.002
+LEAST = 3
 DOUBT = 2.0
 PRIOR = 50.0
 DRIFT = 0.1
 LEVEL = 0.05
 BINS = 48
+PARTS = 8
+#: Sums of log-odds have a lambda of one where tokens are independent: this many best segments are taken to have said so.
+NATURAL = 30.0
 #: Labelled rows that a model is fitted on, at most: some hundred kilobytes of ids and labels are broadcast.
 MOST_ROWS = 40_000
 
@@ -59,29 +65,33 @@ class Model:
     def passages(self, words: list[bytes]) -> list[tuple[float, int, int]]:
         """(sum, first, last + 1) of each maximal segment, left to right."""
         get = self.weights.get
-        found: list[tuple[float, float, int, int]] = []  # sum before, sum with, first, last + 1
+        done: list[tuple[float, int, int]] = []
+        found: list[tuple[float, float, int, int, int]] = []  # sum before, sum with, first, last + 1, link
         total = last = 0.0
         for i, x in enumerate(map(get, words)):
-            if x is None:
+            if x is None or (x > 0 and i and words[i] == words[i - 1]):  # said again at once is said once
                 continue
             total -= DRIFT * (i - last)
             last = i + 1
             if x <= 0:
                 total += x
                 continue
-            low, first = total, i
+            low, first, k = total, i, len(found) - 1
             total += x
-            high = total
-            while found:
-                k = len(found) - 1
+            while True:
                 while k >= 0 and found[k][0] >= low:
-                    k -= 1
-                if k < 0 or found[k][1] >= high:
+                    k = found[k][4]
+                if k < 0:  # nothing that follows can join what there is
+                    done += [(b - a, p, q) for a, b, p, q, _ in found]
+                    found = [(low, total, first, i + 1, -1)]
                     break
-                low, first = found[k][0], found[k][2]
+                if found[k][1] >= total:
+                    found.append((low, total, first, i + 1, k))
+                    break
+                low, _, first, _, before = found[k]
                 del found[k:]
-            found.append((low, high, first, i + 1))
-        return [(high - low, i, j) for low, high, i, j in found]
+                k = before
+        return done + [(b - a, p, q) for a, b, p, q, _ in found]
 
     def excess(self, s: float, n: int) -> float:
         """-ln of the expected number of passages this good among n clean tokens."""
@@ -98,29 +108,34 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.base + self.slope * math.log1p(evidence)))))
 
 
-def _weights(rows: list[tuple[bytes, int, int]], toxic: int, clean: int) -> dict[bytes, tuple[float, float]]:
-    """(weight, share of clean documents) by token."""
-    out = {}
-    for token, y1, y0 in rows:
-        a = PRIOR * (y1 + y0) / (toxic + clean)
-        odds = [math.log((y + a) / (n + PRIOR - y - a)) for y, n in ((y1, toxic), (y0, clean))]
-        w = odds[0] - odds[1] - DOUBT * math.sqrt(1 / (y1 + a) + 1 / (y0 + a))
-        if w > DRIFT:
-            out[token] = w - DRIFT, (y0 + a) / (clean + PRIOR)
-    return out
+def _weight(y1: Column, y0: Column, toxic: int, clean: int) -> Column:
+    """A token's weight by the toxic and clean documents that hold it."""
+    a = (y1 + y0) * (PRIOR / max(toxic + clean, 1)) + 1e-9
+    others = [n + PRIOR + 0.5 - y - a for n, y in ((toxic, y1), (clean, y0))]  # half a document: a token of all is no certainty
+    odds = F.log((y1 + a) / others[0]) - F.log((y0 + a) / others[1])
+    sure = F.abs(odds) - DOUBT * F.sqrt(1 / (y1 + a) + 1 / (y0 + a))
+    return F.when((y1 + y0 >= LEAST) & (sure > 0), F.signum(odds) * sure - DRIFT).otherwise(0.0)
+
+
+def extreme_value(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """lambda and K under which the best sums of texts of n tokens are likeliest; sums of zero stand for all below."""
+    positive = best > 0
+    if not positive.any():
+        return 1.0, 1.0 / max(float(n.sum()), 1.0)
 
+    def scale(rate: float) -> float:
+        return positive.sum() / float((n * np.exp(-rate * best)).sum())
 
-def _rate(weights: dict[bytes, tuple[float, float]], length: float) -> float:
-    """lambda: the positive root of E[exp(lambda s)] = 1 over tokens of clean documents with ``length`` tokens."""
-    s = np.array([w for w, _ in weights.values()] or [1.0])
-    p = np.array([q for _, q in weights.values()] or [1e-6]) / max(length, 1.0)
-    p *= min(1.0, 0.5 * DRIFT / max(float(p @ (s + DRIFT)), 1e-12))  # keeps the mean negative
-    low, high = 1e-6, 50.0
-    for _ in range(100):
-        mid = (low + high) / 2
-        grown = float(p @ np.exp(np.minimum(mid * s, 700))) + (1 - float(p.sum())) * math.exp(-mid * DRIFT)
-        low, high = (low, mid) if grown > 1 else (mid, high)
-    return low
+    def likelihood(rate: float) -> float:
+        known = NATURAL * (math.log(rate) - rate)
+        return known + positive.sum() * (math.log(rate) + math.log(scale(rate)) - 1) - rate * float(best[positive].sum())
+
+    low, high = math.log(1e-3), math.log(50.0)
+    for _ in range(80):  # golden section
+        a, b = high - 0.618034 * (high - low), low + 0.618034 * (high - low)
+        low, high = (low, b) if likelihood(math.exp(a)) > likelihood(math.exp(b)) else (a, high)
+    rate = math.exp((low + high) / 2)
+    return rate, scale(rate)
 
 
 def _logistic(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -150,59 +165,74 @@ def fit(
     """
     spark = docs.sparkSession
     work = Workspace(spark, "toxicity")
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
-    known = known.groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where("id is not null and y is not null")
+    known = known.groupBy("id").agg(F.max("y").alias("y"))
     taken = work.keep(known.orderBy(F.xxhash64("id"), "id").limit(most_rows))
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(taken), "id").select("y", "t")
-    rows = work.keep(rows)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t")).join(F.broadcast(taken), "id")
+    rows = work.keep(rows.select((F.col("y") > 0).cast("int").alias("y"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(PARTS)).cast("int").alias("part"), "t"))
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[bytes]]]:
+        for batch in batches:
+            for part in slices(batch, 2):
+                for y, own, t in zip(*(part.column(k).to_pylist() for k in range(3))):
+                    yield y, own, tokens(t)
+
+    names = ["token", "n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = Counter(), Counter()
-        sizes = [[0, 0], [0, 0]]
+        """Documents by token: clean and toxic ones of each part. No token is empty: that row counts all documents."""
+        seen: dict[bytes, list[int]] = {}
 
         def flush() -> pa.RecordBatch:
-            keys = list(seen[0].keys() | seen[1].keys())
-            out = [keys, [seen[1][k] for k in keys], [seen[0][k] for k in keys]]
-            seen[0].clear(), seen[1].clear()
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), *(pa.array(x, pa.int64()) for x in out[1:])], names=["token", "y1", "y0"])
-
-        for batch in batches:
-            for part in slices(batch, 1):
-                for y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words = tokens(t)
-                    seen[y > 0].update(set(words))
-                    sizes[y > 0][0] += 1
-                    sizes[y > 0][1] += len(words)
-                if len(seen[0]) + len(seen[1]) > 400_000:
-                    yield flush()
+            out = [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.list_(pa.int64()))]
+            seen.clear()
+            return pa.RecordBatch.from_arrays(out, names=names)
+
+        for y, own, words in labelled(batches):
+            for word in {*words, b""}:
+                seen.setdefault(word, [0] * (2 * PARTS))[2 * own + y] += 1
+            if len(seen) > 200_000:
+                yield flush()
         yield flush()
-        # no token holds a blank: these two rows carry the numbers of documents and of their tokens
-        yield pa.RecordBatch.from_arrays([pa.array([b" documents", b" tokens"], pa.binary()), *(pa.array([sizes[k][0], sizes[k][1]], pa.int64()) for k in (1, 0))], names=["token", "y1", "y0"])
-
-    counts = work.keep(rows.mapInArrow(count, "token binary, y1 bigint, y0 bigint").groupBy("token").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")))
-    size = {bytes(r.token): (r.y1, r.y0) for r in counts.where(F.col("token").isin(b" documents", b" tokens")).collect()}
-    toxic, clean = size.get(b" documents", (0, 0))
-    found = []
-    if toxic and clean:
-        least = max(3, math.ceil(SHARE * toxic))
-        often = (F.col("y1") >= least) & (F.col("y1") * clean > F.col("y0") * toxic) & ~F.col("token").startswith(F.lit(b" "))
-        found = [(bytes(r.token), r.y1, r.y0) for r in counts.where(often).collect()]
-    weights = _weights(found, toxic, clean)
-    length = size.get(b" tokens", (0, 0))[1] / max(clean, 1)
-    model = Model({k: w for k, (w, _) in weights.items()}, _rate(weights, length), 0.5 * DRIFT)
-
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for part in slices(batch, 1):
-                for y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    seen[min(BINS, round(8 * math.log1p(model.evidence(tokens(t))))), int(y > 0)] += 1
-        yield pa.RecordBatch.from_pylist([{"bin": b, "y": y, "n": n} for (b, y), n in seen.items()], schema=pa.schema([("bin", pa.int32()), ("y", pa.int32()), ("n", pa.int64())]))
 
+    counts = rows.mapInArrow(count, "token binary, n array<bigint>").groupBy("token")
+    counts = work.keep(counts.agg(*(F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(2 * PARTS))))
+    size = counts.where(F.octet_length("token") == 0).drop("token").first() or [0] * (2 * PARTS)
+    toxic, clean = sum(size[1::2]), sum(size[::2])
+    model = Model({}, 1.0, 1.0)
     if not (toxic and clean):
         model.base = -4.0
         work.drop(rows, counts, taken)
         return model
+    y0, y1 = (reduce(add, (F.col(f"n{2 * k + y}") for k in range(PARTS))) for y in (0, 1))
+    weights = [_weight(y1 - F.col(f"n{2 * k + 1}"), y0 - F.col(f"n{2 * k}"), toxic - size[2 * k + 1], clean - size[2 * k]) for k in range(PARTS)]
+    weights.append(_weight(y1, y0, toxic, clean))
+    used = counts.where((y0 + y1 >= LEAST) & (F.octet_length("token") > 0)).select("token", F.array(*weights).alias("w")).where(F.exists("w", lambda w: w != 0))
+    tables: list[dict[bytes, float]] = [{} for _ in weights]
+    for token, found in used.collect():
+        for table, w in zip(tables, found):
+            if w:
+                table[bytes(token)] = w
+    model.weights = tables.pop()
+    others = [Model(table, 1.0, 1.0) for table in tables]  # each part is scored by what the others taught
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for y, own, words in labelled(batches):
+            if not y:
+                top = max((s for s, _, _ in others[own].passages(words)), default=0.0)
+                yield pa.RecordBatch.from_arrays([pa.array([top]), pa.array([len(words)])], names=["best", "n"])
+
+    clean = rows.mapInArrow(best, "best double, n bigint").toArrow()  # two numbers for each of up to most_rows rows
+    model.rate, model.scale = extreme_value(clean.column(0).to_numpy(), clean.column(1).to_numpy())
+    for other in others:
+        other.rate, other.scale = model.rate, model.scale
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for y, own, words in labelled(batches):
+            seen[min(BINS, round(8 * math.log1p(others[own].evidence(words)))), y] += 1
+        yield pa.RecordBatch.from_pylist([{"bin": b, "y": y, "n": n} for (b, y), n in seen.items()], schema=pa.schema([("bin", pa.int32()), ("y", pa.int32()), ("n", pa.int64())]))
+
     table = Counter()
     for r in rows.mapInArrow(binned, "bin int, y int, n bigint").groupBy("bin", "y").agg(F.sum("n").alias("n")).collect():
         table[r.bin, r.y] += r.n
