@@ -1,44 +1,60 @@
 """Removal of byte strings that occur earlier in the corpus, by prefix-free parsing.
 
-*Parse.* A rolling hash over ``KMER`` bytes triggers a phrase where it is the least of some window of
-``LENGTH`` bytes. Triggers depend on content only, and each window holds one that its own bytes decide, so two equal
-windows share a trigger at the same place in them. A phrase is taken with its overlaps: all bytes of the windows
-that hold its trigger (``EXTENT``); equal windows lie at equal places of such phrases.
-
-*Dictionary.* Phrases are ordered by trigger, phrase, document and place (by 64-bit hashes of the first two: what counts
-in that order is equality). A phrase that occurred before is removed whole; so copies, however many, cost one
-dictionary entry each, found without looking at single bytes. Repeats within one piece of text
-are settled where they are read, before anything is shuffled.
-
-*Suffixes.* Where one trigger begins different phrases, the suffixes of these dictionary entries that are long enough to
-hold a window are ordered by their first ``LENGTH`` bytes (again by hash, then by place in the corpus), and all
-but the first of equal ones are removed.
-Which triggers need that is known from the dictionary; a bit table of fixed size tells the second reading which
-phrases to bring along, and what it brings in vain falls out as having one phrase only.
+*Parse.* Each window of ``LENGTH`` bytes is given to the trigger in it: the ``KMER`` bytes with the least rolling hash (the leftmost of
+equal ones), which the window's own bytes decide. A phrase is the run of windows that one trigger holds, from the start of the
+first to the end of the last. So phrases of a text overlap by ``LENGTH`` - 1 bytes, each window lies in exactly one phrase, and no phrase's
+suffix of that length begins another: equal windows lie at equal places beside equal triggers. The parse of a text is the
+sequence of its phrases, with their places.
+
+*Dictionary.* Occurrences are ordered by phrase, document and place (phrases by two 64-bit hashes, which is all that equality needs). All but the first of a
+phrase's occurrences in the corpus are removed whole; copies, however many, cost one dictionary entry, found
+without looking at single bytes. Repeats within one piece of text are settled where they are read, before anything is shuffled.
+
+*Suffixes.* Windows of different entries can be equal only where their triggers are. Entries of such triggers come together, and the suffix array of
+their group is built: suffixes that begin at triggers are sorted by their bytes, with the lengths of common prefixes of
+neighbours; suffixes that begin before a trigger are ordered by the bytes up to it (sorted too, backwards) and the trigger's
+suffix. Runs of suffixes with a common prefix of ``LENGTH`` are equal windows. Phrases overlap by so much that such a prefix never leaves its
+entry, so dictionary and parse combine simply: within a run the corpus order is the order of first
+places in the parse, and all but the first of a run are removed.
+
+Which triggers begin several entries is known from the dictionary; a bit table tells the second reading which
+phrases to bring along, and what it brings in vain falls out as having one entry only. Triggers of more than ``CROWD`` entries
+(what stands at the edges of very common passages) are split: their phrases are cut into runs of ``RUN`` windows, which are grouped
+by all bytes that the windows of a run have in common.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swarmtide.llm.hashing import BYTES, mixed, power, prefix, spans
-from swarmtide.llm.text import extended, flat, pieces
+from swarmtide.llm.hashing import mixed, power, prefix, spans
+from swarmtide.llm.text import extended, flat, mapped, pieces
+from swarmtide.plans.ordering import numbered
 from swarmtide.plans.workspace import Workspace
 
 LENGTH = 100
 KMER = 32
 BEFORE = LENGTH - KMER
 EXTENT = LENGTH + BEFORE
-#: log2 of the bits of the table of triggers: 16 MB.
-BITS = 27
+#: log2 of the bits of the table of triggers, at least and at most: 8 kB to 16 MB.
+LEAST_BITS, MOST_BITS = 16, 27
+#: Entries of a trigger that one group takes.
+CROWD = 4096
+#: Triggers that are split, at most: beyond, groups grow.
+MOST_SPLIT = 1_000_000
+RUN = 8
+#: Entries that are ordered at a time; a group is not cut.
+TOGETHER = 8192
 
 _U = np.uint64
+_PLACE = _U((1 << 30) - 1)
 
 
 def _sliding(x: np.ndarray, size: int, f: np.ufunc) -> np.ndarray:
@@ -50,37 +66,37 @@ def _sliding(x: np.ndarray, size: int, f: np.ufunc) -> np.ndarray:
     return f(x[: len(x) - (size - step)], x[size - step :]) if size > step else x
 
 
-def triggers(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, place in the text, trigger hash, phrase hash) of each phrase of some texts."""
-    none = np.zeros(0, np.int64)
+def phrases(raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """[text, place of the first window, windows - 1, place of the trigger in it, trigger hash, phrase hash] of each phrase of some texts, in order."""
     n = len(raw)
-    if n < LENGTH:
-        return none, none, none, none
+    if n > int(_PLACE):
+        raise ValueError("texts of a gibibyte are not handled")
+    counts = np.maximum(np.diff(at) - (LENGTH - 1), 0)
+    window = np.repeat(at[:-1] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    if not len(window):
+        return [np.zeros(0, np.int64)] * 6
+    text = np.repeat(np.arange(len(counts)), counts)
     sums = prefix(raw, 0)
     h = mixed((sums[KMER:] - sums[:-KMER]) * power(0, n + 1)[1][: n - KMER + 1])
-    least = _sliding(h, BEFORE + 1, np.minimum)
-    inside = np.zeros(len(least), bool)
-    for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-        inside[i : max(i, j - LENGTH + 1)] = True
-    least[~inside] = 0
-    most = _sliding(np.concatenate([np.zeros(BEFORE, np.uint64), least, np.zeros(BEFORE, np.uint64)]), BEFORE + 1, np.maximum)
-    place = np.flatnonzero((most == h) & (h != 0))
-    text = np.searchsorted(at, place, side="right") - 1
-    first, last = np.maximum(at[text], place - BEFORE), np.minimum(at[text + 1], place + LENGTH)
-    phrase = spans(prefix(raw, 1), first, last, 1, n + 1)
-    phrase = mixed(phrase + (place - first).astype(np.uint64) * _U(0x9E3779B97F4A7C15) + (last - place).astype(np.uint64))
-    return text, place - at[text], h[place].view(np.int64), phrase.view(np.int64)
-
-
-def _phrases(raw: np.ndarray, at: np.ndarray, doc: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """[text, place, trigger, phrase] in dictionary order, and which of these occurred before in these texts."""
-    text, place, trigger, phrase = triggers(raw, at)
-    order = np.lexsort((place, doc[text], phrase, trigger))
-    text, place, trigger, phrase = (x[order] for x in (text, place, trigger, phrase))
+    least = _sliding((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), BEFORE + 1, np.minimum)
+    held = (least[window] & _PLACE).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (held[1:] != held[:-1]) | (text[1:] != text[:-1])]))
+    lo, hi, held, text = window[first], window[np.append(first[1:], len(window)) - 1], held[first], text[first]
+    phrase = spans(prefix(raw, 1), lo, hi + LENGTH, 1, n + 1)
+    phrase = mixed(phrase + (held - lo).astype(np.uint64) * _U(0x9E3779B97F4A7C15) + (hi - lo).astype(np.uint64))
+    return [text, lo - at[text], hi - lo, held - lo, h[held].view(np.int64), phrase.view(np.int64)]
+
+
+def _parsed(raw: np.ndarray, at: np.ndarray, doc: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """``phrases`` in dictionary order, and which of these occurred before in these texts."""
+    found = phrases(raw, at)
+    text, lo, _, _, trigger, phrase = found
+    order = np.lexsort((lo, doc[text], phrase, trigger))
+    text, lo, more, left, trigger, phrase = (x[order] for x in found)
     new = np.ones(len(order), bool)
     new[1:] = (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)) if len(new) else np.zeros(0, np.int64)
-    return [text, place, trigger, phrase], (doc[text] != doc[text[first]]) | (place != place[first])
+    return [text, lo, more, left, trigger, phrase], (doc[text] != doc[text[first]]) | (lo != lo[first])
 
 
 def _read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -94,31 +110,30 @@ def _batch(names: str, *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrases that are the first of their piece."""
+    """Phrases that are the first of their piece; spot: place and number of windows."""
     for batch in batches:
         for doc, raw, at in _read(batch):
-            (text, place, trigger, phrase), again = _phrases(raw, at, doc)
-            yield _batch("trigger phrase doc place", trigger[~again], phrase[~again], doc[text[~again]], place[~again])
+            (text, lo, more, _, trigger, phrase), again = _parsed(raw, at, doc)
+            yield _batch("trigger phrase doc spot", trigger[~again], phrase[~again], doc[text[~again]], (lo << 7 | more)[~again])
 
 
 def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of phrases in dictionary order: (doc, place) of those that occurred before; (null, trigger) of triggers of several."""
+    """Of phrases in dictionary order: (doc, spot) of those that occurred before; (null, trigger) of each entry."""
     last = None
     for batch in batches:
-        trigger, phrase, doc, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        trigger, phrase, doc, spot = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         n = len(trigger)
         if not n:
             continue
         if last is None:
-            last = (~trigger[0], phrase[0], doc[0], place[0])
-        ahead = [np.concatenate([[x], y]) for x, y in zip(last, (trigger, phrase, doc, place))]
-        other = ahead[0][1:] != ahead[0][:-1]
-        new = np.concatenate([[True], other | (ahead[1][1:] != ahead[1][:-1])])
+            last = (~trigger[0], phrase[0], doc[0], spot[0])
+        ahead = [np.concatenate([[x], y]) for x, y in zip(last, (trigger, phrase, doc, spot))]
+        new = np.concatenate([[True], (ahead[0][1:] != ahead[0][:-1]) | (ahead[1][1:] != ahead[1][:-1])])
         first = np.maximum.accumulate(np.where(new, np.arange(n + 1), 0))
         again = ((ahead[2] != ahead[2][first]) | (ahead[3] != ahead[3][first]))[1:]
-        several = np.unique(trigger[new[1:] & ~other])
-        yield _batch("doc place", doc[again], place[again])
-        yield _batch("doc place", pa.nulls(len(several), pa.int64()), several)
+        entries = trigger[new[1:]]
+        yield _batch("doc spot", doc[again], spot[again])
+        yield _batch("doc spot", pa.nulls(len(entries), pa.int64()), entries)
         last = (trigger[-1], phrase[-1], ahead[2][first[-1]], ahead[3][first[-1]])
 
 
@@ -132,117 +147,181 @@ def _spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
     return _batch("doc lo hi", doc[i], lo[i], np.maximum.reduceat(hi, i))
 
 
-def _bring(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Spans of phrases that occurred before in their piece, and the bytes of phrases whose trigger is in the table."""
-    names = "doc lo hi trigger place left phrase"
+def _runs(trigger: np.ndarray, lo: np.ndarray, more: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Phrases cut into runs of windows whose places beside the trigger lie between multiples of ``RUN``: (phrase number, number of the run, lo, windows - 1, bytes before the run's common ones)."""
+    low, high = (left - more) // RUN, left // RUN  # places count backwards from the trigger
+    many = high - low + 1
+    of = np.repeat(np.arange(len(lo)), many)
+    q = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    far, close = np.minimum(left[of], RUN * q + RUN - 1), np.maximum((left - more)[of], RUN * q)
+    return of, q, (lo + left)[of] - far, far - close, far - RUN * q
+
+
+def _bring(batches: Iterator[pa.RecordBatch], bits: np.ndarray, split: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Spans of phrases that occurred before in their piece; phrases whose trigger is in the table, or their runs where it is in ``split``."""
+    names = "doc lo hi key phrase left body"
+    width = _U(64 - (len(bits) * 8).bit_length() + 1)
     for batch in batches:
         for doc, raw, at in _read(batch):
-            (text, place, trigger, _), again = _phrases(raw, at, doc)
-            first = np.maximum(place - BEFORE, 0)
-            last = np.minimum(place + LENGTH, np.diff(at)[text])
-            order = np.lexsort((first[again], text[again]))
-            old = _spans(text[again][order], first[again][order], last[again][order])
+            (text, lo, more, left, trigger, phrase), again = _parsed(raw, at, doc)
+            order = np.lexsort((lo[again], text[again]))
+            old = _spans(text[again][order], lo[again][order], (lo + more)[again][order] + LENGTH)
             gone = [c.to_numpy() for c in old.columns]
             empty = pa.nulls(len(gone[0]), pa.int64())
             yield _batch(names, doc[gone[0]], gone[1], gone[2], empty, empty, empty, pa.nulls(len(gone[0]), pa.binary()))
-            spot = trigger.view(np.uint64) >> _U(64 - BITS)
-            hit = np.flatnonzero(~again & ((bits[spot >> _U(3)] >> (spot & _U(7)).astype(np.uint8)) & 1).astype(bool))
-            data, base = raw.tobytes(), at[text[hit]]
-            cuts = zip((base + first[hit]).tolist(), (base + last[hit]).tolist())
-            empty = pa.nulls(len(hit), pa.int64())
-            yield _batch(names, doc[text[hit]], empty, empty, trigger[hit], place[hit], place[hit] - first[hit], pa.array([data[i:j] for i, j in cuts], pa.binary()))
+            slot = trigger.view(np.uint64) >> width
+            hit = ~again & ((bits[slot >> _U(3)] >> (slot & _U(7)).astype(np.uint8)) & 1).astype(bool)
+            hot = np.isin(trigger, split) if len(split) else np.zeros(len(trigger), bool)
+            whole, cut = np.flatnonzero(hit & ~hot), np.flatnonzero(hit & hot)
+            data = raw.tobytes()
+            parts = [(text[whole], lo[whole], more[whole], left[whole], trigger[whole], phrase[whole])]
+            if len(cut):
+                of, q, begin, windows, ahead = _runs(trigger[cut], lo[cut], more[cut], left[cut])
+                of, base = cut[of], at[text[cut[of]]]
+                sums, size = prefix(raw, 0), len(raw) + 1
+                common = spans(sums, base + begin + ahead, base + begin + ahead + LENGTH - RUN + 1, 0, size)
+                key = mixed(common + mixed(trigger[of].view(np.uint64) + q.astype(np.uint64))).view(np.int64)
+                body = spans(prefix(raw, 1), base + begin, base + begin + windows + LENGTH, 1, size)
+                body = mixed(body + (ahead * RUN + windows).astype(np.uint64)).view(np.int64)
+                parts.append((text[of], begin, windows, -1 - ahead, key, body))
+            for t, begin, windows, ahead, key, body in parts:
+                base = at[t] + begin
+                cuts = zip(base.tolist(), (base + windows + LENGTH).tolist())
+                yield _batch(names, doc[t], begin, pa.nulls(len(t), pa.int64()), key, body, ahead, pa.array([data[i:j] for i, j in cuts], pa.binary()))
+
+
+def _sorted(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows of bytes within their groups, and the common prefix of each with the next in that order (-1 between groups)."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    words = wide.view(">u8").astype(np.uint64)
+    order = np.lexsort((*words.T[::-1], group))
+    same = rows[order[1:]] == rows[order[:-1]]
+    common = np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1))
+    return order, np.where(group[order[1:]] == group[order[:-1]], common, -1)
+
+
+def repeated(key: np.ndarray, doc: np.ndarray, lo: np.ndarray, left: np.ndarray, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, place) of the windows of some entries, sorted by key, that an entry of the same key holds earlier. ``left``: bytes before the trigger."""
+    size = np.diff(at)
+    n = len(size)
+    # each entry in a row of its own, its trigger in one column
+    laid = np.zeros((n, EXTENT), np.uint8)
+    row = np.repeat(np.arange(n), size)
+    laid[row, np.arange(len(raw)) - np.repeat(at[:-1] - (BEFORE - left), size)] = raw
+    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    after, common = _sorted(laid[:, BEFORE:], group)
+    ahead, common_back = _sorted(laid[:, BEFORE - 1 :: -1], group)
+    corpus = np.lexsort((lo, doc))
+    docs, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    ranks = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
+    for y in range(int(left.max(initial=-1)) + 1):
+        here = corpus[(left[corpus] >= y) & ((left - y + LENGTH <= size)[corpus])]
+        if not len(here):
+            continue
+        ranks[0][after[1:]] = np.cumsum(common < LENGTH - y)
+        ranks[1][ahead[1:]] = np.cumsum(common_back < y)
+        _, first = np.unique(ranks[1][here] * n + ranks[0][here], return_index=True)
+        more = np.ones(len(here), bool)
+        more[first] = False
+        docs.append(doc[here[more]])
+        places.append((lo + left)[here[more]] - y)
+    return np.concatenate(docs), np.concatenate(places)
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of phrases in order of (trigger, doc, place): spans of windows that an earlier one holds too."""
-    seen, of = np.zeros(0, np.uint64), None  # windows of the trigger that the last rows belong to
+    """Of entries in order of (key, phrase, doc, lo): spans of windows that an earlier one of the key holds too."""
+    held: list[pa.Table] = []
+    last = None  # the first occurrence of the entry in hand
+
+    def settle(rows: pa.Table) -> pa.RecordBatch:
+        key, doc, lo, left = (rows[c].to_numpy() for c in ("key", "doc", "lo", "left"))
+        raw, at = flat(rows["body"])
+        doc, lo = repeated(key, doc, lo, np.where(left < 0, -1 - left, left), raw, at)
+        order = np.lexsort((lo, doc))
+        return _spans(doc[order], lo[order], lo[order] + LENGTH)
+
     for batch in batches:
-        for i in range(0, len(batch), 4096):
-            part = batch.slice(i, 4096)
-            trigger, doc, place, left = (part.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            raw, at = flat(part.column(4))
-            size = np.diff(at)
-            # each phrase in a row of its own, its trigger in one column
-            laid = np.zeros((len(size), EXTENT), np.uint8)
-            row = np.repeat(np.arange(len(size)), size)
-            column = np.arange(len(raw)) - np.repeat(at[:-1] - (BEFORE - left), size)
-            laid[row, column] = raw
-            sums = np.zeros((len(size), EXTENT + 1), np.uint64)
-            up, down = power(0, EXTENT + 1)
-            np.cumsum(BYTES[0][laid] * up[:EXTENT], axis=1, out=sums[:, 1:])
-            begin = np.arange(BEFORE + 1)
-            windows = mixed((sums[:, LENGTH:] - sums[:, : BEFORE + 1]) * down[: BEFORE + 1] + begin.astype(np.uint64))
-            windows = mixed(windows ^ trigger.view(np.uint64)[:, None])
-            whole = (begin >= (BEFORE - left)[:, None]) & (begin + LENGTH <= (BEFORE - left + size)[:, None])
-            x, y = np.nonzero(whole)
-            keys = windows[x, y]
-            if of is not None and of != trigger[0]:
-                seen = np.zeros(0, np.uint64)
-            unique, first = np.unique(keys, return_index=True)
-            again = np.ones(len(keys), bool)
-            again[first] = np.isin(unique, seen) if len(seen) else False
-            # a phrase that was read twice is no earlier than itself
-            same = np.zeros(len(size), bool)
-            same[1:] = (trigger[1:] == trigger[:-1]) & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
-            lo = place[x] - BEFORE + y
-            take = again & ~same[x]
-            yield _spans(doc[x[take]], lo[take], lo[take] + LENGTH)
-            mine = unique[np.isin(first, np.flatnonzero(trigger[x] == trigger[-1]))] if len(unique) else unique
-            seen = np.union1d(seen, mine) if of == trigger[-1] else mine
-            of = trigger[-1]
-
-
-def _bit_table(triggers_of_several: DataFrame) -> np.ndarray:
-    """The table: a bit for each value of a trigger's first ``BITS`` bits. At most 2**BITS / 64 rows reach the driver."""
-    spot = F.shiftrightunsigned("place", 64 - BITS)
-    one = F.expr(f"shiftleft(1L, int(shiftrightunsigned(place, {64 - BITS}) & 63))")
-    words = triggers_of_several.groupBy(F.shiftright(spot, 6).cast("int").alias("w")).agg(F.bit_or(one).alias("v")).toArrow()
-    table = np.zeros(1 << (BITS - 6), np.int64)
+        key, phrase, doc, lo, left = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        n = len(key)
+        if not n:
+            continue
+        if last is None:
+            last = (~key[0], phrase[0], doc[0], lo[0])
+        ahead = [np.concatenate([[x], y]) for x, y in zip(last, (key, phrase, doc, lo))]
+        new = np.concatenate([[True], (ahead[0][1:] != ahead[0][:-1]) | (ahead[1][1:] != ahead[1][:-1])])
+        first = np.maximum.accumulate(np.where(new, np.arange(n + 1), 0))
+        last = (key[-1], phrase[-1], ahead[2][first[-1]], ahead[3][first[-1]])
+        # runs that occurred before go whole; whole phrases did so by the dictionary
+        again = ((ahead[2] != ahead[2][first]) | (ahead[3] != ahead[3][first]))[1:] & (left < 0)
+        if again.any():
+            size = np.diff(flat(batch.column(5))[1])[again]
+            yield _batch("doc lo hi", doc[again], lo[again], lo[again] + size)
+        held.append(pa.Table.from_batches([batch]).filter(pa.array(new[1:])))
+        if sum(t.num_rows for t in held) >= TOGETHER:
+            rows = pa.concat_tables(held).combine_chunks()
+            edge = np.flatnonzero(np.diff(rows["key"].to_numpy()) != 0)
+            if len(edge):
+                yield settle(rows.slice(0, edge[-1] + 1).combine_chunks())
+                rows = rows.slice(edge[-1] + 1)
+            held = [rows]
+    if held and sum(t.num_rows for t in held):
+        yield settle(pa.concat_tables(held).combine_chunks())
+
+
+def _bit_table(several: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each value of a trigger's first ``bits`` bits. At most 2**bits / 64 rows reach the driver."""
+    slot = F.shiftrightunsigned("trigger", 64 - bits)
+    one = F.expr(f"shiftleft(1L, int(shiftrightunsigned(trigger, {64 - bits}) & 63))")
+    words = several.groupBy(F.shiftright(slot, 6).cast("int").alias("w")).agg(F.bit_or(one).alias("v")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
     table[words.column("w").to_numpy()] = words.column("v").to_numpy()
     return table.view(np.uint8)
 
 
-def _keyed(work: Workspace, df: DataFrame, doc_id: str) -> DataFrame:
-    """Rows with ``__doc``, which orders documents: the id; of null and repeated ids, ranks by id and text."""
+def _keyed(df: DataFrame, doc_id: str) -> DataFrame:
+    """Rows with ``__doc``, which orders documents: the id; where ids are null or repeated, numbers in the order of id and text."""
     ids = df.groupBy(F.col(f"`{doc_id}`").alias("i")).count().where("i is null or count > 1")
     if not ids.take(1):
         return df.withColumn("__doc", F.col(f"`{doc_id}`").cast("long"))
     marked = df.withColumn("__hash", F.sha2(F.coalesce("__text", F.lit(b"")), 256))
-    rank = Window.orderBy(F.col("i").asc_nulls_first(), "h")
-    ranks = marked.select(F.col(f"`{doc_id}`").alias("i"), F.col("__hash").alias("h")).distinct()
-    ranks = work.keep(ranks.select("i", "h", F.row_number().over(rank).cast("long").alias("__doc")))
-    return marked.join(ranks, marked[doc_id].eqNullSafe(ranks.i) & (marked["__hash"] == ranks.h)).drop("i", "h", "__hash")
+    ranks = numbered(marked.select(F.col(f"`{doc_id}`").alias("__i"), F.col("__hash").alias("__h")).distinct(), [F.col("__i").asc_nulls_first(), F.col("__h")], "__doc")
+    return marked.join(ranks, F.col(f"`{doc_id}`").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h"))).drop("__i", "__h", "__hash")
 
 
-def remove(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
+def remove(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True, crowd: int = CROWD) -> DataFrame:
     """Adds ``n_bytes``, ``n_removed``, ``n_spans`` (long) and ``kept_sha256``, replacing columns of these names.
 
     Removes each byte that a string of ``LENGTH`` bytes covers which also starts earlier: in a document of a
     smaller id or earlier in the same document; strings never cross documents and are judged on the
     input. With ``keep_text`` the text is what is left, without characters that a cut went through. A null
     text is empty. Null ids come before all others; of rows with one id the one with the smaller SHA-256
-    of its text comes first, and rows equal in both are one document and get the same result.
+    of its text comes first, and rows equal in both are one document and get the same result. Columns ``__text``, ``__doc``, ``__hash``, ``__i``, ``__h``,
+    ``__lo`` and ``__hi`` are not allowed.
     """
     spark = df.sparkSession
     work = Workspace(spark, "repeats")
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     kept = [c for c in df.columns if c not in new]
-    whole = _keyed(work, df.select(*(f"`{c}`" for c in kept)).withColumn("__text", F.col(f"`{text}`").cast("binary")), doc_id)
+    whole = _keyed(df.select(*(f"`{c}`" for c in kept)).withColumn("__text", F.col(f"`{text}`").cast("binary")), doc_id)
     docs = whole.select("__doc", "__text")
-    parsed = docs.mapInArrow(_parse, "trigger bigint, phrase bigint, doc bigint, place bigint")
-    ordered = parsed.repartition("trigger").sortWithinPartitions("trigger", "phrase", "doc", "place")
-    found = work.keep(ordered.mapInArrow(_dictionary, "doc bigint, place bigint"))
-    table = spark.sparkContext.broadcast(_bit_table(found.where("doc is null")))
-    brought = docs.mapInArrow(
-        lambda batches: _bring(batches, table.value),
-        "doc bigint, lo bigint, hi bigint, trigger bigint, place bigint, left bigint, phrase binary",
-    )
+    parsed = docs.mapInArrow(_parse, "trigger bigint, phrase bigint, doc bigint, spot bigint")
+    ordered = parsed.repartition("trigger", "phrase").sortWithinPartitions("trigger", "phrase", "doc", "spot")
+    found = work.keep(ordered.mapInArrow(_dictionary, "doc bigint, spot bigint"))
+    several = work.keep(found.where("doc is null").groupBy(F.col("spot").alias("trigger")).agg(F.count("*").alias("n")).where("n > 1"))
+    size = several.agg(F.count("*").alias("n"), F.sum("n").alias("entries")).first()
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * size.n + 1))))
+    most = max(crowd, (size.entries or 0) // MOST_SPLIT)
+    split = several.where(F.col("n") > most).select("trigger").toArrow().column(0).to_numpy()  # MOST_SPLIT at most
+    shared = spark.sparkContext.broadcast((_bit_table(several, bits), np.sort(split)))
+    brought = docs.mapInArrow(lambda batches: _bring(batches, *shared.value), "doc bigint, lo bigint, hi bigint, key bigint, phrase bigint, left bigint, body binary")
     brought = work.keep(brought)
-    several = brought.where("trigger is not null").select("trigger", "doc", "place", "left", "phrase")
-    several = several.repartition("trigger").sortWithinPartitions("trigger", "doc", "place")
-    gone = brought.where("lo is not null").select("doc", "lo", "hi")
-    gone = gone.union(several.mapInArrow(_suffixes, "doc bigint, lo bigint, hi bigint"))
-    old = found.where("doc is not null").select("doc", (F.col("place") - BEFORE).alias("lo"), (F.col("place") + LENGTH).alias("hi"))
+    entries = brought.where("key is not null").select("key", "phrase", "doc", "lo", "left", "body")
+    entries = entries.repartition("key").sortWithinPartitions("key", "phrase", "doc", "lo")
+    gone = brought.where("key is null").select("doc", "lo", "hi")
+    gone = gone.union(entries.mapInArrow(_suffixes, "doc bigint, lo bigint, hi bigint"))
+    begin = F.shiftright("spot", 7)
+    old = found.where("doc is not null").select("doc", begin.alias("lo"), (begin + F.col("spot").bitwiseAND(127) + LENGTH).alias("hi"))
     gone = gone.union(old).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("lo").alias("__lo"), F.collect_list("hi").alias("__hi"))
     joined = whole.join(gone, "__doc", "left").select(*(f"`{c}`" for c in kept if c != text), "__text", "__lo", "__hi")
     return _cut(joined, df, kept, text, keep_text)
@@ -275,4 +354,4 @@ def _cut(joined: DataFrame, df: DataFrame, kept: list[str], text: str, keep_text
                 head.append(pa.array(left, pa.string() if is_text else pa.binary()))
             yield pa.RecordBatch.from_arrays([*head, *columns], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return mapped(joined, joined.columns, run, schema)
