@@ -18,9 +18,9 @@ entry, so dictionary and parse combine simply: within a run the corpus order is
 places in the parse, and all but the first of a run are removed.
 
 Which triggers begin several entries is known from the dictionary; a bit table tells the second reading which
-phrases to bring along, and what it brings in vain falls out as having one entry only. Triggers of more than ``CROWD`` entries
-(what stands at the edges of very common passages) are split: their phrases are cut into runs of ``RUN`` windows, which are grouped
-by all bytes that the windows of a run have in common.
+phrases to bring along, and what it brings in vain falls out as having one entry only. Groups of more than ``CROWD`` phrases
+(what stands at the edges of very common passages) are split: their phrases are cut into runs of windows, which are grouped
+by all bytes that the windows of a run have in common; what is crowded still is cut again, down to single windows (``RUNS``).
 """
 
 from __future__ import annotations
@@ -45,14 +45,17 @@ BEFORE = LENGTH - KMER
 EXTENT = LENGTH + BEFORE
 #: log2 of the bits of the table of triggers, at least and at most: 8 kB to 16 MB.
 LEAST_BITS, MOST_BITS = 16, 27
-#: Entries of a trigger that one group takes.
+#: Phrases that one group takes.
 CROWD = 4096
-#: Triggers that are split, at most: beyond, groups grow.
+#: Groups that are split, at most (their keys are broadcast): where there would be more, groups take a millionth of all phrases.
 MOST_SPLIT = 1_000_000
-RUN = 8
+#: Windows of a run, from split to split.
+RUNS = (24, 6, 1)
 #: Entries that are ordered at a time; a group is not cut.
 TOGETHER = 8192
 
+ROW = "key phrase doc lo left body"
+ROW_TYPES = "key bigint, phrase bigint, doc bigint, lo bigint, left bigint, body binary"
 _U = np.uint64
 _PLACE = _U((1 << 30) - 1)
 
@@ -84,7 +87,8 @@ def phrases(raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     lo, hi, held, text = window[first], window[np.append(first[1:], len(window)) - 1], held[first], text[first]
     phrase = spans(prefix(raw, 1), lo, hi + LENGTH, 1, n + 1)
     phrase = mixed(phrase + (held - lo).astype(np.uint64) * _U(0x9E3779B97F4A7C15) + (hi - lo).astype(np.uint64))
-    return [text, lo - at[text], hi - lo, held - lo, h[held].view(np.int64), phrase.view(np.int64)]
+    trigger = mixed(h[held])  # least hashes are small; their first bits choose a place in a table
+    return [text, lo - at[text], hi - lo, held - lo, trigger.view(np.int64), phrase.view(np.int64)]
 
 
 def _parsed(raw: np.ndarray, at: np.ndarray, doc: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -147,47 +151,47 @@ def _spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
     return _batch("doc lo hi", doc[i], lo[i], np.maximum.reduceat(hi, i))
 
 
-def _runs(trigger: np.ndarray, lo: np.ndarray, more: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Phrases cut into runs of windows whose places beside the trigger lie between multiples of ``RUN``: (phrase number, number of the run, lo, windows - 1, bytes before the run's common ones)."""
-    low, high = (left - more) // RUN, left // RUN  # places count backwards from the trigger
-    many = high - low + 1
-    of = np.repeat(np.arange(len(lo)), many)
-    q = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-    far, close = np.minimum(left[of], RUN * q + RUN - 1), np.maximum((left - more)[of], RUN * q)
-    return of, q, (lo + left)[of] - far, far - close, far - RUN * q
+def _recut(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, phrase, doc, lo, left, body) cut into runs of windows whose places beside the trigger lie between multiples of ``run``.
+
+    ``left`` below zero marks what was cut: -1 - the number of bytes before the run's common ones."""
+    for batch in batches:
+        for i in range(0, len(batch), 4096):
+            part = batch.slice(i, 4096)
+            key, _, doc, lo, left = (part.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            raw, at = flat(part.column(5))
+            left = np.where(left < 0, -1 - left, left)
+            low, high = (left - (np.diff(at) - LENGTH)) // run, left // run  # places count backwards from the trigger
+            many = high - low + 1
+            of = np.repeat(np.arange(len(lo)), many)
+            q = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            far, close = np.minimum(left[of], run * q + run - 1), np.maximum((left - (np.diff(at) - LENGTH))[of], run * q)
+            begin = at[of] + left[of] - far
+            size, ahead = far - close + LENGTH, far - run * q
+            common = spans(prefix(raw, 0), begin + ahead, begin + ahead + LENGTH - run + 1, 0, len(raw) + 1)
+            new = mixed(common + mixed(key[of].view(np.uint64) + q.astype(np.uint64)))
+            phrase = mixed(spans(prefix(raw, 1), begin, begin + size, 1, len(raw) + 1) + (ahead * run + far - close).astype(np.uint64))
+            data = raw.tobytes()
+            body = pa.array([data[a:b] for a, b in zip(begin.tolist(), (begin + size).tolist())], pa.binary())
+            yield _batch(ROW, new.view(np.int64), phrase.view(np.int64), doc[of], lo[of] + left[of] - far, -1 - ahead, body)
 
 
-def _bring(batches: Iterator[pa.RecordBatch], bits: np.ndarray, split: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Spans of phrases that occurred before in their piece; phrases whose trigger is in the table, or their runs where it is in ``split``."""
-    names = "doc lo hi key phrase left body"
+def _bring(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Phrases whose trigger is in the table; spans of phrases that occurred before in their piece, without key and body, ``left``: their end."""
     width = _U(64 - (len(bits) * 8).bit_length() + 1)
     for batch in batches:
         for doc, raw, at in _read(batch):
             (text, lo, more, left, trigger, phrase), again = _parsed(raw, at, doc)
             order = np.lexsort((lo[again], text[again]))
             old = _spans(text[again][order], lo[again][order], (lo + more)[again][order] + LENGTH)
-            gone = [c.to_numpy() for c in old.columns]
-            empty = pa.nulls(len(gone[0]), pa.int64())
-            yield _batch(names, doc[gone[0]], gone[1], gone[2], empty, empty, empty, pa.nulls(len(gone[0]), pa.binary()))
+            of, begin, end = (c.to_numpy() for c in old.columns)
+            empty = pa.nulls(len(of), pa.int64())
+            yield _batch(ROW, empty, empty, doc[of], begin, end, pa.nulls(len(of), pa.binary()))
             slot = trigger.view(np.uint64) >> width
-            hit = ~again & ((bits[slot >> _U(3)] >> (slot & _U(7)).astype(np.uint8)) & 1).astype(bool)
-            hot = np.isin(trigger, split) if len(split) else np.zeros(len(trigger), bool)
-            whole, cut = np.flatnonzero(hit & ~hot), np.flatnonzero(hit & hot)
-            data = raw.tobytes()
-            parts = [(text[whole], lo[whole], more[whole], left[whole], trigger[whole], phrase[whole])]
-            if len(cut):
-                of, q, begin, windows, ahead = _runs(trigger[cut], lo[cut], more[cut], left[cut])
-                of, base = cut[of], at[text[cut[of]]]
-                sums, size = prefix(raw, 0), len(raw) + 1
-                common = spans(sums, base + begin + ahead, base + begin + ahead + LENGTH - RUN + 1, 0, size)
-                key = mixed(common + mixed(trigger[of].view(np.uint64) + q.astype(np.uint64))).view(np.int64)
-                body = spans(prefix(raw, 1), base + begin, base + begin + windows + LENGTH, 1, size)
-                body = mixed(body + (ahead * RUN + windows).astype(np.uint64)).view(np.int64)
-                parts.append((text[of], begin, windows, -1 - ahead, key, body))
-            for t, begin, windows, ahead, key, body in parts:
-                base = at[t] + begin
-                cuts = zip(base.tolist(), (base + windows + LENGTH).tolist())
-                yield _batch(names, doc[t], begin, pa.nulls(len(t), pa.int64()), key, body, ahead, pa.array([data[i:j] for i, j in cuts], pa.binary()))
+            hit = np.flatnonzero(~again & ((bits[slot >> _U(3)] >> (slot & _U(7)).astype(np.uint8)) & 1).astype(bool))
+            base, data = (at[text] + lo)[hit], raw.tobytes()
+            body = pa.array([data[i:j] for i, j in zip(base.tolist(), (base + more[hit] + LENGTH).tolist())], pa.binary())
+            yield _batch(ROW, trigger[hit], phrase[hit], doc[text[hit]], lo[hit], left[hit], body)
 
 
 def _sorted(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,6 +283,18 @@ def _bit_table(several: DataFrame, bits: int) -> np.ndarray:
     return table.view(np.uint8)
 
 
+def _calm(work: Workspace, rows: DataFrame, crowd: int) -> Iterator[DataFrame]:
+    """The rows in groups of up to ``crowd`` each, crowded ones cut; of single windows a group holds one entry only."""
+    for run in RUNS:
+        crowded = work.keep(rows.groupBy("key").count().where(F.col("count") > crowd).select("key"))
+        if not crowded.take(1):
+            break
+        yield rows.join(F.broadcast(crowded), "key", "left_anti")  # a row in ``crowd`` at most
+        hot = rows.join(F.broadcast(crowded), "key").select(*ROW.split())
+        rows = work.keep(hot.mapInArrow(lambda batches, run=run: _recut(batches, run), ROW_TYPES))
+    yield rows
+
+
 def _keyed(df: DataFrame, doc_id: str) -> DataFrame:
     """Rows with ``__doc``, which orders documents: the id; where ids are null or repeated, numbers in the order of id and text."""
     ids = df.groupBy(F.col(f"`{doc_id}`").alias("i")).count().where("i is null or count > 1")
@@ -311,15 +327,12 @@ def remove(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text:
     several = work.keep(found.where("doc is null").groupBy(F.col("spot").alias("trigger")).agg(F.count("*").alias("n")).where("n > 1"))
     size = several.agg(F.count("*").alias("n"), F.sum("n").alias("entries")).first()
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * size.n + 1))))
-    most = max(crowd, (size.entries or 0) // MOST_SPLIT)
-    split = several.where(F.col("n") > most).select("trigger").toArrow().column(0).to_numpy()  # MOST_SPLIT at most
-    shared = spark.sparkContext.broadcast((_bit_table(several, bits), np.sort(split)))
-    brought = docs.mapInArrow(lambda batches: _bring(batches, *shared.value), "doc bigint, lo bigint, hi bigint, key bigint, phrase bigint, left bigint, body binary")
-    brought = work.keep(brought)
-    entries = brought.where("key is not null").select("key", "phrase", "doc", "lo", "left", "body")
-    entries = entries.repartition("key").sortWithinPartitions("key", "phrase", "doc", "lo")
-    gone = brought.where("key is null").select("doc", "lo", "hi")
-    gone = gone.union(entries.mapInArrow(_suffixes, "doc bigint, lo bigint, hi bigint"))
+    shared = spark.sparkContext.broadcast(_bit_table(several, bits))
+    brought = work.keep(docs.mapInArrow(lambda batches: _bring(batches, shared.value), ROW_TYPES))
+    gone = brought.where("key is null").select("doc", "lo", F.col("left").alias("hi"))
+    for rows in _calm(work, brought.where("key is not null"), max(crowd, (size.entries or 0) // MOST_SPLIT)):
+        entries = rows.repartition("key").sortWithinPartitions("key", "phrase", "doc", "lo")
+        gone = gone.union(entries.mapInArrow(_suffixes, "doc bigint, lo bigint, hi bigint"))
     begin = F.shiftright("spot", 7)
     old = found.where("doc is not null").select("doc", begin.alias("lo"), (begin + F.col("spot").bitwiseAND(127) + LENGTH).alias("hi"))
     gone = gone.union(old).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("lo").alias("__lo"), F.collect_list("hi").alias("__hi"))
