@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from swarmtide.llm import bpe, decontamination, near_copies, repeats, toxicity
 from swarmtide.llm.queries import PATTERN, RANKS
-from swarmtide.plans.workspace import Workspace
+from swarmtide.plans.workspace import Workspace, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
     train = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     model = toxicity.fit(docs.select("doc_id", "text"), train)
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    rows = docs.select("text", F.struct("*").alias("row"))  # so no column of the documents meets one of the score
+    return toxicity.score(rows, model).where("predicted = 0").select("row.*")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +34,12 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur earlier are cut out; documents of which no character is left go."""
-    left = repeats.remove(docs).select(*docs.columns, "n_removed")
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+    left = repeats.remove(docs.select("doc_id", "text", others))
     left = left.where((F.col("n_removed") == 0) | (F.length("text") > 0))
-    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).drop("n_removed")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast("long")
+    cut = {"text": F.col("text"), "n_chars": n_chars}
+    return left.select(*(cut.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,12 +65,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. What a stage writes for itself is freed once its result is written."""
     work = Workspace(spark, "pipeline")
     docs = _table(spark, sf_dir, "documents")
     before = None
     for _, stage in STAGES:
-        docs = work.keep(stage(spark, docs, sf_dir))
+        with scratch():
+            docs = work.keep(stage(spark, docs, sf_dir))
         if before is not None:
             work.drop(before)
         before = docs

@@ -9,9 +9,11 @@ from swarmtide.plans.ordering import numbered
 
 
 def member_rank(tracks: DataFrame, host: str, mass: str, tie: str) -> DataFrame:
-    """Adds ``rank``: place by mass within the host, from 0; tracks of the field (host -1) all have 0."""
+    """Adds ``rank``: place by mass within the host, from 0; tracks of the field (host -1), which are most, all have 0 and are not sorted."""
     w = Window.partitionBy(host).orderBy(F.desc(mass), tie)
-    return tracks.withColumn("rank", F.when(F.col(host) == -1, 0).otherwise(F.row_number().over(w) - 1).cast("long"))
+    field = F.col(host).eqNullSafe(-1)
+    ranked = tracks.where(~field).withColumn("rank", (F.row_number().over(w) - 1).cast("long"))
+    return ranked.unionByName(tracks.where(field).withColumn("rank", F.lit(0).cast("long")))
 
 
 def decide_central(members: DataFrame, host: str, ratio: float = 0.8) -> DataFrame:

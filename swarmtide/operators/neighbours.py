@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from swarmtide.functions.geometry import AXES, cell, kernel, min_image, wrap
 from swarmtide.plans.components import components
+from swarmtide.plans.workspace import Workspace
 
 MOST_CELLS = 1 << 20
 
@@ -55,19 +56,21 @@ def nearest(points: DataFrame, centres: DataFrame, k: int, guess: float, box: fl
     """(c_id, id, d2, rank): the k nearest points of each centre, ties by id; itself included where it is a point.
 
     Spheres grow by half until each holds k points or all the box. Centres with fewer than k points in the box get what there is.
+    Each round's finds and the centres left are written, so a round's plan does not hold the rounds before.
     """
-    radius, left, out = guess, centres, None
+    work = Workspace(points.sparkSession, "nearest")
+    points = work.keep(points.select("id", *AXES))
+    radius, left, out = guess, centres.select("id", *AXES), None
+    group = Window.partitionBy("c_id")
     while True:
         last = radius >= box  # no two points are farther apart than sqrt(3) / 2 of the box
         found = within(points, left, radius, box)
-        w = Window.partitionBy("c_id").orderBy("d2", "id")
-        ranked = found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+        found = found.select("*", F.row_number().over(group.orderBy("d2", "id")).cast("long").alias("rank"), F.count("*").over(group).alias("n"))
+        found = work.keep(found.where((F.col("rank") <= k) & (F.lit(last) | (F.col("n") >= k))).drop("n"))
+        out = found if out is None else out.union(found)
         if last:
-            return ranked if out is None else out.union(ranked)
-        full = found.groupBy("c_id").count().where(F.col("count") >= k).select("c_id")
-        done = ranked.join(full, "c_id", "left_semi")
-        out = done if out is None else out.union(done)
-        left = left.join(full, left.id == full.c_id, "left_anti")
+            return out
+        left = work.keep(left.join(found.where("rank = 1"), left.id == found.c_id, "left_anti"))
         if left.isEmpty():
             return out
         radius *= 1.5

@@ -11,6 +11,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,13 +36,32 @@ def _drop_local(folder: str) -> None:
     shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
 
 
+#: Workspaces made inside each open ``scratch``.
+_open: list[list[Workspace]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Frees, at its end, all tables kept inside: for callers that have written the result by then."""
+    made: list[Workspace] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        for work in made:
+            work.clear()
+
+
 class Workspace:
-    """A folder for the tables of one call. ``drop`` frees a table that is read no more."""
+    """A folder for the tables of one call. ``drop`` frees a table that is read no more, ``clear`` all of them."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.written = 0
+        if _open:
+            _open[-1].append(self)
 
     def keep(self, df: DataFrame, *partitions: str) -> DataFrame:
         """Writes ``df`` once and returns it as a scan of the written files."""
@@ -53,8 +74,12 @@ class Workspace:
 
     def drop(self, *kept: DataFrame) -> None:
         """Deletes tables that ``keep`` returned."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in kept:
-            path = jvm.org.apache.hadoop.fs.Path(df._swarmtide_path)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(df._swarmtide_path)
+
+    def clear(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
