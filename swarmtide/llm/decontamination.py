@@ -10,7 +10,9 @@ Before postings are walked, all passages of a batch are bounded at once by block
 within each block of items, and each common term's best share anywhere. Only blocks that can reach 1 are walked.
 
 Each retrieved item is then verified: the share of its five-word shingles that the passage holds, for the whole item,
-its question (all but the last sentence) and its answer (the last sentence; of a single sentence, the last third).
+its question (all but the last sentence) and its answer (the last sentence; of a single sentence, the last third). A part without
+words has no overlap. An item of fewer words than a shingle is one shingle: down to a single word it is found wherever its words stand, so
+leave out items that say nothing.
 
 The index of up to ``SHARD_BYTES`` of items is broadcast; more items are indexed in shards of that size, one pass
 over the texts each.
@@ -30,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swarmtide.llm.text import extended, slices
+from swarmtide.llm.text import extended, mapped, slices
 from swarmtide.plans.workspace import Workspace
 
 SHARD_BYTES = 16 << 20
@@ -224,7 +226,7 @@ class Index:
             run = whole[text][begin : begin + 2 * stride]
             have = shingles(run).union(*(zip(*(run[k:] for k in range(n))) for n in self._sizes))
             for item, score in found:
-                overlap, question, answer = (len(s & have) / len(s) if s else 1.0 for s in self.checks[item])
+                overlap, question, answer = (len(s & have) / len(s) if s else 0.0 for s in self.checks[item])
                 if overlap >= self.similarity or (question >= self.similarity and answer >= self.similarity):
                     if (text, item) not in out or out[text, item][4] < overlap:
                         out[text, item] = text, item, begin, score, overlap, question, answer
@@ -303,5 +305,5 @@ def clean(
                     fine[[x[0] for x in index.value.leaks(part.column(at).to_pylist())]] = False
                     yield part.filter(pa.array(fine))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = mapped(docs, docs.columns, run, docs.schema)
     return docs

@@ -78,3 +78,10 @@ def test_empty_tables(spark):
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert d.leaks(df.limit(0), bench).count() == 0
     assert d.leaks(df, bench.limit(0)).count() == 0
+
+
+def test_short_items_and_names_with_dots(spark):
+    docs = spark.createDataFrame([(1, "I once went to Rome in spring", 5), (2, "what is the capital of France . Paris", 6)], "doc_id long, text string, `a.b` int")
+    items = spark.createDataFrame([(1, "Paris"), (2, "..."), (3, "What is the capital of France? Paris")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in d.leaks(docs, items).collect()} == {(2, 1), (2, 3)}
+    assert [r["a.b"] for r in d.clean(docs, items).collect()] == [5]

@@ -57,3 +57,12 @@ def test_stages_keep_columns_and_stand_nulls(spark):
             out = stage(spark, df, DIR)
             out.collect()
             assert k == 4 or out.columns == docs.columns
+
+
+def test_stages_leave_clashing_columns(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(40)
+    names = ["score", "predicted", "passages", "n_removed", "n_bytes", "kept_sha256", "id", "fp", "a.b", "row"]
+    wide = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        for r in stage(spark, wide, DIR).collect():
+            assert all(r[n] == f"{n}{r.doc_id}" for n in names)
