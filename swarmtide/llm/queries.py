@@ -39,8 +39,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(_crc() % 10 == 0, F.lit(False))
-    model, words = suffix_tree_lm.fit(docs.where(~held_out))
-    out = suffix_tree_lm.score(docs, model, words).withColumn("held_out", held_out)
+    out = suffix_tree_lm.score(docs, suffix_tree_lm.fit(docs.where(~held_out))).withColumn("held_out", held_out)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
