@@ -65,13 +65,25 @@ def cross(a: list[Column], b: list[Column]) -> list[Column]:
 
 
 def spherical_basis(x: Column, y: Column, z: Column) -> dict[str, Column]:
-    """Unit vectors along r, theta and phi; on the axis phi points along y, at the origin r along z."""
+    """Unit vectors outward, along the azimuth and along the meridian, as arrays.
+
+    The meridian's vector leans inward: upward above the plane, downward below it, straight up in it. On the axis the
+    azimuth points along x and the meridian along y; at the origin ``radial`` is null.
+    """
     p2 = x * x + y * y
     p, r = F.sqrt(p2), F.sqrt(p2 + z * z)
-    at_pole, at_zero = p2 == 0, r == 0
-    sin, cos = F.when(at_zero, 0.0).otherwise(p / r), F.when(at_zero, 1.0).otherwise(z / r)
-    cp, sp = F.when(at_pole, 1.0).otherwise(x / p), F.when(at_pole, 0.0).otherwise(y / p)
-    return {"r": F.array(sin * cp, sin * sp, cos), "theta": F.array(cos * cp, cos * sp, -sin), "phi": F.array(-sp, cp, F.lit(0.0))}
+    axis = p2 == 0
+
+    def vector(*parts: tuple[float, Column]) -> Column:
+        return F.array(*(F.when(axis, F.lit(at_axis)).otherwise(c) for at_axis, c in parts))
+
+    lean = F.abs(z) / (p * r)
+    up = F.when(z < 0, -p / r).otherwise(p / r)
+    return {
+        "radial": F.when(r > 0, F.array(x / r, y / r, z / r)),
+        "azimuth": vector((1.0, -y / p), (0.0, x / p), (0.0, F.lit(0.0))),
+        "meridian": vector((0.0, -x * lean), (1.0, -y * lean), (0.0, up)),
+    }
 
 
 def kernel(r: Column, h: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from swarmtide.functions.geometry import AXES, cross, min_image
+from swarmtide.plans.workspace import Workspace
 
 VELOCITIES = ("vx", "vy", "vz")
 
@@ -64,18 +67,13 @@ def inertia(particles: DataFrame, group: str, order: str, box: float | None) ->
 
 def principal_axes(tensors: DataFrame, columns: list[str]) -> DataFrame:
     """Adds ``axes``: eigenvectors times eigenvalues, by falling eigenvalue; the largest component of each is positive."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<array<double>>")
     def axes(rows: pd.Series) -> pd.Series:
-        def one(t):
-            xx, xy, xz, yy, yz, zz = t
-            value, vector = np.linalg.eigh(np.array([[xx, xy, xz], [xy, yy, yz], [xz, yz, zz]]))
-            vector = vector * np.sign(vector[np.abs(vector).argmax(0), range(3)])
-            return (vector * value).T[::-1].tolist()
-
-        return rows.map(one)
+        stack = np.array(rows.tolist(), float).reshape(-1, 6)[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
+        value, vector = np.linalg.eigh(stack)
+        largest = np.take_along_axis(vector, np.abs(vector).argmax(1)[:, None, :], 1)
+        scaled = vector * np.where(largest < 0, -1, 1) * value[:, None, :]
+        return pd.Series(scaled.transpose(0, 2, 1)[:, ::-1].tolist())
 
     return tensors.withColumn("axes", axes(F.array(*columns)))
 
@@ -123,3 +121,30 @@ def overdensity(prof: DataFrame, group: str, density: float) -> DataFrame:
     dense = F.col("m") > density * F.pow("r", F.lit(3))
     m = F.coalesce(F.max_by(F.when(dense, F.col("m")), F.when(dense, F.col("k"))), F.lit(0.0))
     return prof.groupBy(group).agg(m.alias("mass_in")).withColumn("radius_in", F.pow(F.col("mass_in") / density, F.lit(1 / 3)))
+
+
+def overdensity_from_outside(prof: DataFrame, group: str, density: float, mass: float, tolerance: float = 1e-5) -> DataFrame:
+    """Mass and radius at a mean ``density`` by guesses: members within the radius that the last guess implies, until it settles.
+
+    For members of one mass. All groups step together; a group leaves when its radius changes by less than ``tolerance``, or when none or all
+    members lie within. Each round is one aggregate over the members of groups that are left, and is written.
+    """
+    work = Workspace(prof.sparkSession, "overdensity")
+    radius = lambda n: F.pow(n * mass / density, F.lit(1 / 3))
+    members = prof.select(group, "r")
+    left = members.groupBy(group).agg(F.count("*").alias("size"), F.max("r").alias("last"))
+    left = work.keep(left.withColumn("guess", radius(F.col("size"))))
+    done = []
+    while not left.isEmpty():
+        inside = F.count_if(F.col("r") < F.col("guess")).alias("n")
+        counted = members.join(left, group).groupBy(group, "size", "last", "guess").agg(inside)
+        # a last member exactly at the guess leaves the number as it was
+        counted = counted.withColumn("n", F.when(F.col("last") == F.col("guess"), F.col("size")).otherwise(F.col("n")))
+        counted = work.keep(counted.withColumn("next", radius(F.col("n"))))
+        settled = (F.col("n") == 0) | (F.col("n") == F.col("size")) | (F.abs(F.col("next") - F.col("guess")) < tolerance * F.col("next"))
+        done.append(counted.where(settled).select(group, (F.col("n") * mass).alias("mass_in"), F.col("next").alias("radius_in")))
+        left = work.keep(counted.where(~settled).select(group, "size", F.lit(None).cast("double").alias("last"), F.col("next").alias("guess")))
+    out = left.select(group, F.lit(0.0).alias("mass_in"), F.lit(0.0).alias("radius_in"))
+    for part in done:
+        out = out.union(part)
+    return out

@@ -2,12 +2,13 @@
 
 The kernels work on arrays of one group. Frames apply them per group; a nest of a host is one group, since what a
 child loses feeds its parent. Groups above ``SAMPLE`` particles take their potential from a
-deterministic sample of sources (by a hash of the ids), as the parameter files allow; 0 means exact sums. Memory is the group's own particles.
+deterministic sample of sources (by a hash of the ids), as the parameter files allow; 0 means exact sums; with ``refine`` the as many
+particles that such a sample finds most bound are then ordered by their exact energies among themselves. Memory is the group's own particles.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,7 @@ class Physics:
     precision: float = 0.995
     sample: int = 0
     relax: float = 3.0
+    refine: bool = False
 
 
 def softened(r: np.ndarray, softening: float) -> np.ndarray:
@@ -112,6 +114,7 @@ def unbind(ids, x, v, mass, thermal=None, frame=None, physics: Physics | None =
             rest = np.arange(1, n)
             return Bound(np.concatenate([[0], rest]), 1, np.zeros(n), True)
         done = len(stay) >= p.precision * len(left)
+        seen_from = frame
         frame = mean_frame(x[stay], v[stay], mass[stay], p.box)
         if done:
             energy = np.full(n, np.inf)
@@ -119,6 +122,10 @@ def unbind(ids, x, v, mass, thermal=None, frame=None, physics: Physics | None =
             lost = np.setdiff1d(np.arange(n), stay)
             outer = energies(ids, x, v, mass, thermal, frame, p)[lost] if len(lost) else np.zeros(0)
             bound = stay[np.lexsort((ids[stay], energy[stay]))]
+            if p.refine and 0 < p.sample < len(bound):
+                top = bound[: p.sample]
+                own = energies(ids[top], x[top], v[top], mass[top], thermal[top], seen_from, replace(p, sample=0))
+                bound[: p.sample] = top[np.lexsort((ids[top], own))]
             lost_order = lost[np.lexsort((ids[lost], outer))]
             return Bound(np.concatenate([bound, lost_order]).astype(np.int64), len(bound), np.concatenate([energy[bound], outer[np.lexsort((ids[lost], outer))]]))
         left = stay
@@ -149,6 +156,26 @@ def unbind_groups(particles: DataFrame, group: str, physics: Physics) -> DataFra
     return particles.groupBy(group).applyInPandas(run, f"{group} {kind}, ord bigint, id bigint, is_bound boolean, energy double")
 
 
+def resolve_nests(particles: DataFrame, nest: str, physics: Physics, merge: bool = True) -> DataFrame:
+    """(nest, track, ord, id, is_bound, nbound, sink): lists after ``resolve``, each nest one group.
+
+    ``particles``: rows of lists with ``track``, ``parent`` (null for the root of a nest), ``ord``, ``id``, place, velocity and mass.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        lists = {int(t): g for t, g in rows.groupby("track")}
+        parent = {t: int(g["parent"].iloc[0]) for t, g in lists.items() if not pd.isna(g["parent"].iloc[0])}
+        parts = []
+        for t, got in resolve(lists, parent, set(), physics, merge).items():
+            ids = got["rows"]["id"].to_numpy()
+            place = np.arange(len(ids))
+            parts.append(pd.DataFrame({nest: rows[nest].iloc[0], "track": t, "ord": place, "id": ids, "is_bound": place < got["nbound"], "nbound": got["nbound"], "sink": got["sink"]}))
+        return pd.concat(parts)
+
+    kind = dict(particles.dtypes)[nest]
+    return particles.groupBy(nest).applyInPandas(run, f"{nest} {kind}, track bigint, ord bigint, id bigint, is_bound boolean, nbound bigint, sink bigint")
+
+
 def core(rows: pd.DataFrame, nbound: int, p: Physics, most: int = 20):
     """Mean place and velocity of the most bound particles, and their dispersions."""
     top = rows.iloc[: min(max(nbound, 1), most)]

@@ -193,13 +193,9 @@ def run(spark: SparkSession, config: EngineConfig, start: int | None = None, end
             tracks, lists = spark.createDataFrame([], TRACK), spark.createDataFrame([], LIST)
         particles = registry.read_snapshot(spark, config, snapshot)
         members = registry.read_groups(spark, config, snapshot)
-        cosmology = {"scale_factor": 1.0, "omega_m0": 0.3, "omega_lambda0": 0.7}
-        if config.SnapshotFormat == "gadget":
-            from swarmtide.sources.gadget import read_cosmology
-
-            cosmology = read_cosmology(spark, config, snapshot)
+        cosmology = registry.read_cosmology(spark, config, snapshot)
         a = cosmology["scale_factor"]
-        physics = Physics(config.gravity, config.SofteningHalo, a, hubble_number(cosmology["omega_m0"], cosmology["omega_lambda0"], a, config.hubble0), config.box, config.MinNumPartOfSub, config.BoundMassPrecision, config.MaxSampleSizeOfPotentialEstimate, config.SourceSubRelaxFactor)
+        physics = Physics(config.gravity, config.SofteningHalo, a, hubble_number(cosmology["omega_m0"], cosmology["omega_lambda0"], a, config.hubble0), config.box, config.MinNumPartOfSub, config.BoundMassPrecision, config.MaxSampleSizeOfPotentialEstimate, config.SourceSubRelaxFactor, config.RefineMostboundParticle)
         clock.append(("read", time.time()))
         from swarmtide.plans.workspace import Workspace
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from swarmtide.functions import cosmology, numbers
 from swarmtide.functions import geometry as geo
-from swarmtide.operators import aggregates, branches, lookups, membership, neighbours, nests, statistics
+from swarmtide.operators import aggregates, branches, lookups, membership, neighbours, nests, statistics, unbinding
 from swarmtide.plans import views
 from swarmtide.plans.ordering import numbered
 from swarmtide.plans.views import SQL, table
@@ -521,3 +522,175 @@ def branch_follow(spark, sf_dir):
 
 
 QUERIES["branch_follow"] = branch_follow
+
+
+FACTORS = "list_max(list_filter(range(1, floor({n} ** (1 / {k}::DOUBLE) + 1e-9)::BIGINT + 1), lambda d: {n} % d = 0))"
+
+
+@query(f"""SELECT id, f1, f2, n // f1 // f2 AS f3 FROM (SELECT *, {FACTORS.format(n="(n // f1)", k=2)} AS f2 FROM
+    (SELECT *, {FACTORS.format(n="n", k=3)} AS f1 FROM (SELECT p_partkey AS id, p_size * (1 + p_partkey % 40) AS n FROM part)))""")
+def near_factors(spark, sf_dir):
+    n = F.col("p_size") * (1 + F.col("p_partkey") % 40)
+    found = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), numbers.near_factors(n, 3).alias("f"))
+    return found.select("id", *(F.col("f")[k].alias(f"f{k + 1}") for k in range(3)))
+
+
+@query("SELECT bin, count(*) AS n FROM (SELECT greatest(least(floor(ln(o_totalprice / 900) / ln(600000 / 900.0) * 24), 24), -1)::BIGINT AS bin FROM orders) GROUP BY bin")
+def log_histogram(spark, sf_dir):
+    """Numbers between logarithmic edges; -1 and 24 lie outside."""
+    edges = F.array(*(F.lit(x) for x in numbers.log_edges(900.0, 600000.0, 25)))
+    place = F.size(F.filter(edges, lambda e: e <= F.col("o_totalprice"))) - 1
+    return table(spark, sf_dir, "orders").groupBy(place.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT track, least(greatest(floor(count(*) * 0.25), 2), count(*))::BIGINT AS core FROM {cat} GROUP BY track")
+def core_size(spark, sf_dir):
+    sizes = views.cat(spark, sf_dir).groupBy("track").agg(F.count("*").alias("n"))
+    return sizes.select("track", numbers.core_size(F.col("n"), 0.25, 2).alias("core"))
+
+
+BASIS = """SELECT id, {out} FROM (SELECT *, sqrt(dx * dx + dy * dy) AS p, sqrt(dx * dx + dy * dy + dz * dz) AS r FROM
+    (SELECT id, CASE WHEN id % 7 = 0 THEN 0 ELSE x - 0.5 END AS dx, CASE WHEN id % 7 = 0 THEN 0 ELSE y - 0.5 END AS dy, CASE WHEN id % 5 = 0 THEN 0 ELSE z - 0.5 END AS dz FROM {{pts}}))"""
+MODE = "sqrt(p * p + p * p * p * p / dz / dz)"
+VECTORS = {
+    "rx": "CASE WHEN r > 0 THEN dx / r END", "ry": "CASE WHEN r > 0 THEN dy / r END", "rz": "CASE WHEN r > 0 THEN dz / r END",
+    "ax": "CASE WHEN p = 0 THEN 1 ELSE -dy / p END", "ay": "CASE WHEN p = 0 THEN 0 ELSE dx / p END", "az": "0.0::DOUBLE",
+    "mx": f"CASE WHEN p = 0 OR dz = 0 THEN 0 ELSE -dx / {MODE} END", "my": f"CASE WHEN p = 0 THEN 1 WHEN dz = 0 THEN 0 ELSE -dy / {MODE} END",
+    "mz": f"CASE WHEN p = 0 THEN 0 WHEN dz = 0 THEN 1 ELSE p * p / dz / {MODE} END",
+}
+
+
+@query(BASIS.format(out=", ".join(f"{r(f'({x})')} AS {c}" for c, x in VECTORS.items())))
+def spherical_axes(spark, sf_dir):
+    p = views.pts(spark, sf_dir)
+    at = lambda c, k: F.when(F.col("id") % k == 0, F.lit(0.0)).otherwise(F.col(c) - 0.5).alias(f"d{c}")
+    basis = geo.spherical_basis(F.col("dx"), F.col("dy"), F.col("dz"))
+    found = p.select("id", at("x", 7), at("y", 7), at("z", 5))
+    return rounded(found.select("id", *(v[k].alias(f"{name[0]}{c}") for name, v in basis.items() for k, c in enumerate("xyz"))))
+
+
+E2 = "(om / a ** 3 + (1 - om - ol) / (a * a) + ol)"
+X1 = f"(om / a ** 3 / {E2} - 1)"
+
+
+@query(f"""SELECT id, {r(f"100 * sqrt{E2}", 5)} AS hubble, {r(f"om / a ** 3 / {E2}", 5)} AS omega, {r(f"18 * 3.1416::DOUBLE * 3.1416::DOUBLE + 82 * {X1} - 39 * {X1} * {X1}", 5)} AS tophat,
+    {r(f"200 * (om / a ** 3 / {E2})", 5)} AS mean200 FROM (SELECT p_partkey AS id, 1 / (1 + p_size / 10.0::DOUBLE) AS a, 0.2 + (p_partkey % 5) / 20.0::DOUBLE AS om, 0.7::DOUBLE AS ol FROM part)""")
+def expansion(spark, sf_dir):
+    om = (F.lit(0.2) + (F.col("p_partkey") % 5) / 20.0).alias("om")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (1 / (1 + F.col("p_size") / 10.0)).alias("a"), om, F.lit(0.7).alias("ol"))
+    p = p.withColumn("omega", cosmology.omega_at(F.col("om"), F.col("ol"), F.col("a")))
+    virial = cosmology.virial_factors(F.col("omega"))
+    hubble = cosmology.hubble(F.col("om"), F.col("ol"), F.col("a"), 100.0).alias("hubble")
+    return rounded(p.select("id", hubble, "omega", virial["tophat"].alias("tophat"), virial["mean200"].alias("mean200")), 5)
+
+
+@query("SELECT track, round((3 * count(*) / (4 * pi() * (1 + track % 3))) ** (1 / 3.0::DOUBLE), 6) + 0.0 AS radius FROM {cat} GROUP BY track")
+def neighbour_range(spark, sf_dir):
+    sizes = views.cat(spark, sf_dir).groupBy("track").agg(F.count("*").alias("n"))
+    return rounded(sizes.select("track", geo.neighbour_range(F.col("n"), 1 + F.col("track") % 3).alias("radius")))
+
+
+OUTSIDE = "(({n}) * 4.0::DOUBLE / 20000) ** (1 / 3.0::DOUBLE)"
+
+
+@query(f"""WITH RECURSIVE p AS MATERIALIZED (SELECT halo_id, r FROM {PROFILE}), s AS (SELECT halo_id, count(*) AS size, count(*) AS n, {OUTSIDE.format(n="count(*)")} AS guess, FALSE AS done FROM p GROUP BY halo_id
+    UNION ALL SELECT halo_id, size, n, {OUTSIDE.format(n="n")}, n IN (0, size) OR abs({OUTSIDE.format(n="n")} - guess) < 1e-5 * {OUTSIDE.format(n="n")}
+    FROM (SELECT halo_id, size, guess, count(*) FILTER (r < guess) AS n FROM s JOIN p USING (halo_id) WHERE NOT done GROUP BY halo_id, size, guess))
+    SELECT halo_id, n * 4.0::DOUBLE AS mass_in, round(guess, 6) + 0.0 AS radius_in FROM s WHERE done""")
+def overdensity_from_outside(spark, sf_dir):
+    prof = aggregates.profile(_groups(spark, sf_dir), "halo_id", "id", BOX, 0.01)
+    return rounded(aggregates.overdensity_from_outside(prof, "halo_id", 20000.0, 4.0))
+
+
+BOUND = unbinding.Physics(1.4e-5, 0.02, SCALE, HUBBLE, BOX, 10, 0.995, 0, 1.2)
+SIZE = 64
+STATE = ("x", "y", "z", "vx", "vy", "vz")
+SOFT = 2.8 * BOUND.softening
+U = f"(o.s / {SOFT})"
+PHI = f"""CASE WHEN o.s >= {SOFT} THEN -1 / o.s WHEN o.s < {SOFT / 2} THEN (-2.8::DOUBLE + {U} * {U} * (5.333333333333 + {U} * {U} * (-9.6 + {U} * 6.4))) / {SOFT}
+    ELSE (-3.2::DOUBLE + 0.066666666667 / {U} + {U} * {U} * (10.666666666667 + {U} * (-16.0 + {U} * (9.6 - {U} * 2.133333333333)))) / {SOFT} END"""
+
+
+def _frames(rows: str, extra: str) -> str:
+    """Rows with the mean place and velocity of their group, seen from its first member."""
+    part = "OVER (PARTITION BY grp)"
+    means = [f"o{c} + sum(m * {near(f'{c} - o{c}')}) {part} / sum(m) {part} AS f{c}" for c in "xyz"] + [f"sum(m * {c}) {part} / sum(m) {part} AS f{c}" for c in V]
+    first = ", ".join(f"first_value({c}) OVER (PARTITION BY grp ORDER BY k) AS o{c}" for c in "xyz")
+    return f"SELECT grp, k, id, {', '.join(STATE)}, m, {', '.join(means)}, {extra} FROM (SELECT *, {first} FROM {rows})"
+
+
+def _energies(rows: str) -> str:
+    """Rows with ``e``: kinetic energy in the group's frame and the potential of the group's other members."""
+    d = [near(f"{c} - o.{c}") for c in "xyz"]
+    apart = f"list_transform(list_filter(others, lambda o: o.id <> id), lambda o: struct_pack(m := o.m, s := sqrt({' + '.join(f'{x} * {x}' for x in d)})))"
+    phi = f"coalesce(list_sum(list_transform(apart, lambda o: o.m * ({PHI}))), 0)"
+    flow = [f"(v{c} - fv{c} + {HUBBLE} * {SCALE} * {near(f'{c} - f{c}')})" for c in "xyz"]
+    kinetic = f"0.5 * ({' + '.join(f'{x} * {x}' for x in flow)})"
+    others = "list(struct_pack(id := id, x := x, y := y, z := z, m := m)) OVER (PARTITION BY grp) AS others"
+    return f"SELECT * EXCLUDE (others, apart), {kinetic} + {phi} * {BOUND.g} / {SCALE} AS e FROM (SELECT *, {apart} AS apart FROM (SELECT *, {others} FROM {rows}))"
+
+
+def _unbound(tag: str, source: str) -> str:
+    """CTEs: ``{tag}`` (grp, ord, id, is_bound, energy, nbound) of ``source`` (grp, k, id, place, velocity, m)."""
+    live = f"(SELECT * EXCLUDE e FROM {tag}_s WHERE NOT done)"
+    stay = f"(SELECT *, count(*) FILTER (e < 0) OVER (PARTITION BY grp) AS n, count(*) OVER (PARTITION BY grp) AS size FROM ({_energies(live)}))"
+    fit = f"(SELECT * FROM {stay} WHERE e < 0 AND n >= {BOUND.least})"
+    return f"""{tag}_i AS MATERIALIZED ({source}), {tag}_s AS ({_frames(f"{tag}_i", "0.0::DOUBLE AS e, FALSE AS done")}
+        UNION ALL {_frames(fit, f"e, n >= {BOUND.precision} * size AS done")}),
+    {tag}_b AS MATERIALIZED (SELECT * FROM {tag}_s WHERE done),
+    {tag}_l AS MATERIALIZED (SELECT i.*, {", ".join(f"f.f{c}" for c in STATE)} FROM {tag}_i i JOIN (SELECT grp, {", ".join(f"any_value(f{c}) AS f{c}" for c in STATE)} FROM {tag}_b GROUP BY grp) f USING (grp)),
+    {tag} AS MATERIALIZED (SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY is_bound DESC, energy, id) - 1 AS ord, id, is_bound, energy, count(*) FILTER (is_bound) OVER (PARTITION BY grp) AS nbound
+        FROM (SELECT l.grp, l.id, b.id IS NOT NULL AS is_bound, coalesce(b.e, l.e) AS energy FROM ({_energies(f"{tag}_l")}) l LEFT JOIN {tag}_b b USING (grp, id))
+        UNION ALL SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY k) - 1, id, row_number() OVER (PARTITION BY grp ORDER BY k) = 1, 0.0, 1 FROM {tag}_i WHERE grp NOT IN (SELECT grp FROM {tag}_b))"""
+
+
+ROWS = "id, x, y, z, vx, vy, vz, mass AS m"
+
+
+@query(f"WITH RECURSIVE {_unbound('u', f'SELECT id // {SIZE} AS grp, id AS k, {ROWS} FROM {{pts}}')} SELECT grp, ord, id, is_bound, {r('energy')} AS energy FROM u")
+def unbind(spark, sf_dir):
+    p = views.pts(spark, sf_dir).withColumn("grp", F.floor(F.col("id") / SIZE)).withColumn("ord", F.col("id"))
+    return rounded(unbinding.unbind_groups(p, "grp", BOUND))
+
+
+#: Nests of two lists: of each 2 * SIZE points the last 40 belong to a list below that of the others.
+SPLIT = 2 * SIZE - 40
+LISTED = f"(SELECT *, 2 * (id // {2 * SIZE}) + (id % {2 * SIZE} >= {SPLIT})::BIGINT AS grp FROM {{pts}})"
+STARS = "a.id, a.x, a.y, a.z, a.vx, a.vy, a.vz, a.m"
+LIMIT = f"(CASE WHEN nbound <= 1 THEN 1 ELSE floor(nbound * {BOUND.relax}::DOUBLE) END)"
+NEST = f"""RECURSIVE a AS MATERIALIZED (SELECT grp, {ROWS} FROM {LISTED}), {_unbound("c", f"SELECT grp, id AS k, {STARS} FROM a WHERE grp % 2 = 1")},
+    {_unbound("p", f'''SELECT g.grp, row_number() OVER (PARTITION BY g.grp ORDER BY part, g.ord) - 1 AS k, {STARS}
+        FROM (SELECT grp, 0 AS part, id AS ord, id FROM a WHERE grp % 2 = 0 UNION ALL SELECT grp - 1, 1, ord, id FROM c WHERE NOT is_bound) g JOIN a USING (id)''')},
+    kc AS (SELECT * FROM c WHERE ord < {LIMIT}), kp AS (SELECT * FROM p WHERE ord < {LIMIT})"""
+CLOSE = [near(f"b.{c} - t.{c}") for c in "xyz"]
+OFF = {**{c: near(f"x.{c} - x.o{c}") for c in "xyz"}, **{c: f"(x.{c} - x.o{c})" for c in V}}
+TOP = f"""SELECT grp, {", ".join(f"any_value(o{c}) + sum(m * {d}) / sum(m) AS {c}" for c, d in OFF.items())},
+    {", ".join(f"sqrt(greatest(0, {' + '.join(f'sum(m * {OFF[c]} * {OFF[c]}) / sum(m) - (sum(m * {OFF[c]}) / sum(m)) ** 2' for c in part)})) AS {name}" for name, part in (("sx", "xyz"), ("sv", V)))}
+    FROM (SELECT g.grp, {STARS}, {", ".join(f"first_value(a.{c}) OVER (PARTITION BY g.grp ORDER BY g.ord) AS o{c}" for c in STATE)}
+        FROM kp g JOIN a USING (id) WHERE g.ord < least(nbound, 20) AND nbound > 1) x GROUP BY grp"""
+SINK = f"""t AS MATERIALIZED (SELECT b.grp, b.nbound FROM (SELECT g.grp, g.nbound, {", ".join(f"a.{c}" for c in STATE)} FROM kc g JOIN a USING (id) WHERE g.ord = 0) b JOIN ({TOP}) t ON t.grp = b.grp - 1
+    WHERE sx > 0 AND sv > 0 AND sqrt({" + ".join(f"{x} * {x}" for x in CLOSE)}) / sx + sqrt({" + ".join(f"(b.{c} - t.{c}) ** 2" for c in V)}) / sv < 2)"""
+MERGED = f"""SELECT g.grp, row_number() OVER (PARTITION BY g.grp ORDER BY part, g.ord) - 1 AS k, {STARS} FROM (SELECT * FROM
+    (SELECT grp, CASE WHEN is_bound THEN 0 ELSE 2 END AS part, ord, id FROM kp UNION ALL SELECT grp - 1, 1, ord, id FROM kc) WHERE grp + 1 IN (SELECT grp FROM t WHERE nbound > 1)
+    QUALIFY row_number() OVER (PARTITION BY grp, id ORDER BY part, ord) = 1) g JOIN a USING (id)"""
+
+
+def _nests(spark, sf_dir, merge):
+    p = views.pts(spark, sf_dir).withColumn("nest", F.floor(F.col("id") / (2 * SIZE)))
+    child = F.col("id") % (2 * SIZE) >= SPLIT
+    p = p.withColumn("track", 2 * F.col("nest") + child.cast("long")).withColumn("parent", F.when(child, 2 * F.col("nest"))).withColumn("ord", F.col("id"))
+    return unbinding.resolve_nests(p, "nest", BOUND, merge)
+
+
+@query(f"WITH {NEST} SELECT grp // 2 AS nest, grp AS track, ord, id, is_bound, nbound, -1::BIGINT AS sink FROM (SELECT * FROM kc UNION ALL SELECT * FROM kp)")
+def recursive_unbind(spark, sf_dir):
+    """What a list below loses feeds the list above before that is unbound."""
+    return _nests(spark, sf_dir, False)
+
+
+@query(f"""WITH {NEST}, {SINK}, {_unbound("m", MERGED)} SELECT grp // 2 AS nest, grp AS track, ord, id, is_bound, nbound, sink FROM (
+    SELECT grp, ord, id, is_bound, nbound, -1::BIGINT AS sink FROM kp WHERE grp NOT IN (SELECT grp FROM m) UNION ALL SELECT grp, ord, id, is_bound, nbound, -1 FROM m WHERE ord < {LIMIT}
+    UNION ALL SELECT grp, ord, id, is_bound, nbound, -1 FROM kc WHERE grp NOT IN (SELECT grp FROM t) UNION ALL SELECT grp, ord, id, is_bound, 1, grp - 1 FROM kc WHERE ord = 0 AND grp IN (SELECT grp FROM t))""")
+def merge_trapped(spark, sf_dir):
+    """A list whose first member lies in the core of the list above ends there; the joined list is unbound again."""
+    return _nests(spark, sf_dir, True)

@@ -26,7 +26,16 @@ def _flat_groups(spark: SparkSession, config: EngineConfig, index: int) -> DataF
     return p.where("halo_id >= 0 and halo_id != 1073741824").selectExpr("halo_id", "id as ord", "id")
 
 
+def _parquet_cosmology(spark: SparkSession, config: EngineConfig, index: int) -> dict[str, float]:
+    """Of the table ``cosmology`` beside the particles: snapshot, scale_factor, omega_m0, omega_lambda0; one row reaches the driver."""
+    row = spark.read.parquet(f"{config.SnapshotPath}/cosmology").where(f"snapshot = {index}").select("scale_factor", "omega_m0", "omega_lambda0").first()
+    if row is None:
+        raise ValueError(f"the cosmology table has no row of snapshot {index}")
+    return {k: float(x) for k, x in row.asDict().items()}
+
+
 SNAPSHOTS: dict[str, Reader] = {"gadget": gadget.read_snapshot, "parquet": _parquet}
+COSMOLOGIES: dict[str, Callable[[SparkSession, EngineConfig, int], dict[str, float]]] = {"gadget": gadget.read_cosmology, "parquet": _parquet_cosmology}
 GROUPS: dict[str, Reader] = {**dict.fromkeys(gadget.GROUP_FORMATS, gadget.read_groups), "parquet": _parquet_groups, "particle_index": _flat_groups}
 
 
@@ -40,3 +49,10 @@ def read_groups(spark: SparkSession, config: EngineConfig, index: int) -> DataFr
     if config.GroupFileFormat not in GROUPS:
         raise ValueError(f"unknown group format {config.GroupFileFormat}")
     return GROUPS[config.GroupFileFormat](spark, config, index)
+
+
+def read_cosmology(spark: SparkSession, config: EngineConfig, index: int) -> dict[str, float]:
+    """Scale factor and density parameters at a snapshot; nothing is assumed where a format doesn't tell them."""
+    if config.SnapshotFormat not in COSMOLOGIES:
+        raise ValueError(f"snapshot format {config.SnapshotFormat} has no reader of its cosmology")
+    return COSMOLOGIES[config.SnapshotFormat](spark, config, index)

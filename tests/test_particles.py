@@ -156,6 +156,7 @@ def _write_merger(spark, root):
         halo = np.where(np.arange(120) < 80, 0, 1 if snapshot == 0 else 0)
         members.append(pd.DataFrame({"snapshot": snapshot, "halo_id": halo, "ord": np.arange(120), "id": np.arange(120) + (1 << 60)}))
     spark.createDataFrame(pd.concat(particles)).write.partitionBy("snapshot").parquet(f"{root}/particles")
+    spark.createDataFrame([(s, 1.0, 0.3, 0.7) for s in range(3)], "snapshot int, scale_factor double, omega_m0 double, omega_lambda0 double").write.parquet(f"{root}/cosmology")
     spark.createDataFrame(pd.concat(members)).write.partitionBy("snapshot").parquet(f"{root}/halo_particles")
 
 
@@ -190,3 +191,46 @@ def test_running_values_in_a_stream(spark, tmp_path):
     seen = []
     running.follow(stream, seen.append, str(tmp_path / "check")).awaitTermination(120)
     assert seen == [0, 1, 2, 3]
+
+
+def test_cosmology_is_never_assumed(spark, tmp_path):
+    spark.createDataFrame([(4, 0.5, 0.25, 0.75)], "snapshot int, scale_factor double, omega_m0 double, omega_lambda0 double").write.parquet(f"{tmp_path}/cosmology")
+    c = config.EngineConfig(SnapshotPath=str(tmp_path), SnapshotFormat="parquet")
+    assert registry.read_cosmology(spark, c, 4) == {"scale_factor": 0.5, "omega_m0": 0.25, "omega_lambda0": 0.75}
+    with pytest.raises(ValueError):
+        registry.read_cosmology(spark, c, 5)
+    with pytest.raises(ValueError):
+        registry.read_cosmology(spark, config.EngineConfig(SnapshotFormat="other"), 4)
+
+
+def test_most_bound_particles_are_refined():
+    x, v = _cluster(300, [5, 5, 5], [0, 0, 0], 3)
+    ids, mass = np.arange(300), np.ones(300)
+    rough = unbinding.unbind(ids, x, v, mass, physics=unbinding.Physics(box=10.0, sample=100))
+    fine = unbinding.unbind(ids, x, v, mass, physics=unbinding.Physics(box=10.0, sample=100, refine=True))
+    assert rough.nbound == fine.nbound > 100 and (rough.order[100:] == fine.order[100:]).all()
+    assert sorted(rough.order[:100]) == sorted(fine.order[:100])
+    top = rough.order[:100]
+    phi = [sum(unbinding.softened(np.linalg.norm(x[i] - x[j])[None], 0.01)[0] for j in top if j != i) for i in top]
+    best = sorted(zip(phi, top))[:30]
+    place = {i: k for k, i in enumerate(fine.order)}
+    assert np.mean([place[i] for _, i in best]) < 50
+
+
+def test_principal_axes(spark):
+    from swarmtide.operators.aggregates import principal_axes
+
+    tensors = [(0, 3.0, 0.0, 0.0, 2.0, 0.0, 1.0), (1, 2.0, 1.0, 0.0, 2.0, 0.0, 5.0)]
+    rows = principal_axes(spark.createDataFrame(tensors, "id long, a double, b double, c double, d double, e double, f double"), list("abcdef")).orderBy("id").collect()
+    assert np.allclose(rows[0].axes, [[3, 0, 0], [0, 2, 0], [0, 0, 1]])
+    assert np.allclose(np.abs(rows[1].axes), [[0, 0, 5], [3 / 2**0.5, 3 / 2**0.5, 0], [2**-0.5, 2**-0.5, 0]])
+
+
+def test_factors_are_near_equal(spark):
+    from swarmtide.functions import numbers
+
+    rows = spark.range(0, 400).select("id", numbers.near_factors(F.col("id"), 3).alias("f")).collect()
+    assert rows[0].f is None and rows[64].f == [4, 4, 4] and rows[27].f == [3, 3, 3] and rows[12].f == [2, 2, 3] and rows[7].f == [1, 1, 7]
+    assert all(r.f[0] * r.f[1] * r.f[2] == r.id for r in rows[1:])
+    edges = numbers.log_edges(0.5, 8.0, 5)
+    assert edges[0] == 0.5 and edges[-1] == 8.0 and np.allclose(edges, [0.5, 1, 2, 4, 8])
