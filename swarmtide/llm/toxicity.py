@@ -139,19 +139,31 @@ def extreme_value(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
 
 
 def _logistic(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
-    """Slope and base of a logistic curve over (log1p evidence, clean, toxic), by Newton steps with a weak prior."""
+    """Slope and base of a logistic curve over (log1p evidence, clean, toxic), by Newton steps with a weak prior.
+
+    The loss is convex, and steps are halved until it falls by enough: full steps can swing to and fro between curves that are
+    flat wherever texts lie, which ends in a slope near zero and no text marked.
+    """
     x = np.array([b[0] for b in bins] or [0.0])
     zero, one = (np.array([b[k] for b in bins] or [1.0], float) for k in (1, 2))
     design = np.stack([np.ones_like(x), x], 1)
+
+    def loss(at: np.ndarray) -> float:
+        t = design @ at
+        return float(zero @ np.logaddexp(0, t) + one @ np.logaddexp(0, -t) + 0.5e-2 * (at @ at))
+
     at = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-design @ at))
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(design @ at, -500, 500)))
         slope = design.T @ (one - (zero + one) * p) - 1e-2 * at
         curve = (design * ((zero + one) * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
         step = np.linalg.solve(curve, slope)
-        at += np.clip(step, -2, 2)
+        gain, now = float(slope @ step), loss(at)
+        while np.abs(step).max() >= 1e-9 and loss(at + step) > now - 1e-4 * gain:
+            step, gain = step / 2, gain / 2
         if np.abs(step).max() < 1e-9:
             break
+        at += step
     return float(max(at[1], 1e-3)), float(at[0])
 
 

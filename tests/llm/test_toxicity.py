@@ -149,6 +149,26 @@ def test_fit_matches_plain_loops(spark):
         assert abs(r.score - 1 / (1 + math.exp(-model.base - model.slope * math.log1p(e)))) < 1e-9
 
 
+def test_curve_is_the_likeliest():
+    """Steep curves far from the start, which full Newton steps leave for a slope of 0.001."""
+    rng = np.random.default_rng(5)
+    for base, slope, clean in ((-24.8, 7.9, 175), (-28.2, 5.2, 158), (-16.3, 11.8, 1424), (-24.5, 9.9, 34757), (-9.0, 3.3, 12511)):
+        for _ in range(8):
+            bins = [(0.0, clean, 0)]
+            for x in np.arange(11, 49) / 8:
+                n = int(rng.integers(1, 200))
+                y = int(rng.binomial(n, 1 / (1 + math.exp(-base - slope * x))))
+                bins.append((float(x), n - y, y))
+            got, at = toxicity._logistic(bins)
+
+            def loss(slope, base):
+                return sum(z * np.logaddexp(0, base + slope * x) + y * np.logaddexp(0, -base - slope * x) for x, z, y in bins) + 0.005 * (slope * slope + base * base)
+
+            least = loss(got, at)
+            assert least <= loss(slope, base) and all(least <= loss(got + a, at + b) + 1e-6 for a in (-0.01, 0, 0.01) for b in (-0.01, 0, 0.01))
+    assert toxicity._logistic([]) == toxicity._logistic([(0.0, 1, 1)])
+
+
 def test_query(spark):
     from swarmtide.llm.queries import QUERIES
 
