@@ -3,8 +3,8 @@
 Texts are split by the vocabulary's pattern; each match is encoded on its own, once per
 worker and not once per place (words repeat), by a ``tokenizers`` BPE model over
 the byte-to-character alphabet. The ranks give the merges: an entry comes from the one pair of entries that is left of it
-when all lower ranks have been merged, and a match that is an entry is that entry. The library's offsets
-tell which ids belong to which match, and in which character a token begins.
+when all lower ranks have been merged, and a match that is an entry is that entry. The library tells which ids belong to which
+match, and by its offsets in which character a token begins.
 
 Decoding turns ids into characters, characters back into bytes by the reversed table, and
 only then joins bytes to text, so characters whose bytes lie in several tokens come
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from swarmtide.llm.text import extended, mapped, nested, slices
 
-#: Encoded pieces that a worker remembers before it starts over.
+#: Encoded chunks of a kind that a worker remembers; half of them are the latest.
 REMEMBERED = 600_000
 #: Two white-space characters in a row.
 DOUBLE = re.compile(r"\s\s")
@@ -91,8 +91,10 @@ class Codec:
         self.bytes_of = {rank: bytes(map(byte_of.__getitem__, spelled)) for spelled, rank in vocab.items()}
         self.kind = np.uint16 if max(ranks.values()) < 1 << 16 else np.uint32
         self.digits = {rank: str(rank) for rank in ranks.values()}
+        self.line = self.spelling | {255: " "}  # no UTF-8 holds this byte: it may stand between pieces
         self.memory: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.older: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
@@ -108,13 +110,14 @@ class Codec:
         begins = np.cumsum([0, *(len(x) + 1 for x in spelled)])
         return coded.ids, np.fromiter((i for i, _ in coded.offsets), np.int64, len(coded.ids)), begins
 
-    def _encode_pieces(self, found: list[str]) -> dict[str, bytes]:
-        """Ids of each piece."""
-        ids, at, begins = self._spelled(found)
-        raw = np.array(ids, self.kind)
-        cuts = (np.searchsorted(at, begins) * raw.itemsize).tolist()
-        raw = raw.tobytes()
-        return {x: raw[i:j] for x, i, j in zip(found, cuts, cuts[1:])}
+    def _encode_pieces(self, found: list[str]) -> list[bytes]:
+        """Ids of each piece. All go to the library as one line; it tells which piece each id belongs to."""
+        line = b"\xff".join(map(str.encode, found)).decode("latin-1").translate(self.line)
+        coded = self.model.encode(line, add_special_tokens=False)
+        raw = np.array(coded.ids, self.kind).tobytes()
+        ends = np.cumsum(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(found))) * np.dtype(self.kind).itemsize
+        ends = ends.tolist()
+        return [raw[i:j] for i, j in zip([0, *ends], ends)]
 
     def _parts(self, chunk: str) -> list[str]:
         """Matches of the pattern in a chunk."""
@@ -126,14 +129,27 @@ class Codec:
         return self.split(chunk)
 
     def learn(self, memory: dict[str, bytes], chunks: set[str], before: str) -> None:
-        """Remembers the ids of chunks that are not known yet; ``before`` stands before each of them."""
+        """Remembers the ids of chunks that are not known yet; ``before`` stands before each of them.
+
+        A full memory becomes the older one, from which comes back what is met again: common words are learned once.
+        """
         new = [x for x in chunks if x not in memory]
-        if len(memory) + len(new) > REMEMBERED:
+        if len(memory) + len(new) > REMEMBERED // 2:
+            self.older[before] = memory.copy()
             memory.clear()
             new = list(chunks)
+        if older := self.older[before]:
+            memory.update((x, older[x]) for x in new if x in older)
+            new = [x for x in new if x not in older]
         for i in range(0, len(new), 10_000):
-            parts = {x: self._parts(before + x) for x in new[i : i + 10_000]}
-            known = self._encode_pieces(list(set(chain.from_iterable(parts.values()))))
+            some = new[i : i + 10_000]
+            if before == " ":  # after a space a word is one match
+                words = [x for x in some if x.isalpha() and (x.isascii() or max(x) < LATIN)]
+                memory.update(zip(words, self._encode_pieces([" " + x for x in words]) if words else ()))
+                some = [x for x in some if x not in memory]
+            parts = {x: self._parts(before + x) for x in some}
+            pieces = list(set(chain.from_iterable(parts.values())))
+            known = dict(zip(pieces, self._encode_pieces(pieces))) if pieces else {}
             for x, found in parts.items():
                 memory[x] = b"".join(map(known.__getitem__, found)) if len(found) != 1 else known[found[0]]
 

@@ -60,3 +60,16 @@ def test_characters_that_tokens_split():
     text = "日🙂本"
     ids = codec.encode([text])[0].tolist()
     assert len(ids) > 3 and codec.char_offsets(text)[0] == 0 and set(codec.char_offsets(text)) == {0, 1, 2} and len(codec.char_offsets(text)) == len(ids)
+
+
+def test_common_words_are_learned_once(plain, monkeypatch):
+    """When the memory is full, what comes again is taken from the older one."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 60)
+    codec = bpe.Codec(RANKS, PATTERN)
+    seen, encode_pieces = [], codec._encode_pieces
+    codec._encode_pieces = lambda found: seen.extend(found) or encode_pieces(found)
+    for k in range(40):
+        text = "x the common, words é日 " + " ".join(f"rare{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}" for j in range(8)) + " ."
+        assert codec.encode([text])[0].tolist() == plain.encode_ordinary(text)
+        assert len(codec.spaced) <= 30 and len(codec.older[" "]) <= 30
+    assert seen.count(" the") == seen.count(" words") == 1
